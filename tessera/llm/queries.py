@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import contamination, packing, similarity, token_files
 
 
 def _tokenizer(name: str) -> str:
@@ -26,5 +26,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "blanks", 0)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_best_fit_packing)}
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join)}
 ORACLES: dict[str, str] = {}
