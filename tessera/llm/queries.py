@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, similarity, token_files
+from . import contamination, packing, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +22,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "spaces", 2)
 
 
+def op4_nb_linear_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "blanks", 0)
 
@@ -35,5 +39,5 @@ def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join)}
 ORACLES: dict[str, str] = {}
