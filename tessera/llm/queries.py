@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, packing, similarity, token_files, toxicity
+from . import contamination, lines, packing, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -39,5 +39,10 @@ def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.fuzzy_line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join, op10_fuzzy_lines)}
 ORACLES: dict[str, str] = {}
