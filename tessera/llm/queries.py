@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, lines, packing, similarity, token_files, toxicity
+from . import contamination, fingerprints, lines, packing, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "spaces", 2)
 
@@ -44,5 +48,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join, op10_fuzzy_lines)}
 ORACLES: dict[str, str] = {}
