@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, lines, packing, similarity, token_files, toxicity
+from . import contamination, fingerprints, lines, packing, pii, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -39,6 +39,11 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), "example key, replace it")
+    return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op9_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_components(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op9_token_group_join, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines)}
 ORACLES: dict[str, str] = {}
