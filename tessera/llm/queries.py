@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, lines, packing, pii, similarity, token_files, toxicity
+from . import contamination, fingerprints, lines, packing, pii, repeats, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +22,10 @@ def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "spaces", 2)
 
@@ -53,5 +57,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op2_prefix_free_parsing, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines)}
 ORACLES: dict[str, str] = {}
