@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, lines, packing, pii, repeats, similarity, token_files, toxicity
+from . import contamination, fingerprints, language, lines, packing, pii, repeats, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -38,6 +38,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "blanks", 0)
 
 
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -57,5 +61,5 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op2_prefix_free_parsing, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines)}
+QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op2_prefix_free_parsing, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op6_language_fusion, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines)}
 ORACLES: dict[str, str] = {}
