@@ -1,4 +1,8 @@
 """Queries and their DuckDB SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tessera.plans import bpe, chat, corpus, metrics, preference, reports, sampling, streams, tensors
+from tessera.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "bpe", "chat", "corpus", "metrics", "preference", "reports", "sampling", "streams", "tensors"]
