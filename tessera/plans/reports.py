@@ -1 +1,81 @@
-"""."""
+"""Configurations, parameter counts and report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import reports
+from tessera.plans.base import query
+
+#: Peak FLOPs of accelerators at half and at single precision.
+PEAKS = [("A100", 312e12, 19.5e12), ("H100", 989e12, 67.0e12), ("T4", 65e12, 8.1e12), ("V100", 125e12, 15.7e12), ("L4", 121e12, 30.3e12), ("RTX4090", 330e12, 82.6e12), ("RTX3090", 142e12, 35.6e12)]
+_CONFIGS = [("17M", 10000, 256, 512, 4, 16, 16, 1344, True, "Tesla T4", 32), ("60M", 16000, 512, 640, 8, 10, 5, 1728, True, "NVIDIA L4", 64), ("silu", 8000, 256, 384, 6, 6, 6, 1536, False, "Apple M1", 16)]
+_CONFIG_SCHEMA = "name string, vocab int, context int, d_model int, layers int, q_heads int, kv_heads int, d_ff int, gate boolean, device string, batch int"
+_CONFIG_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in c) + ")" for c in _CONFIGS) + ") c(name, vocab, context, d_model, layers, q_heads, kv_heads, d_ff, gate, device, batch)"
+_PEAK_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', {h}::DOUBLE)" for i, (n, h, _) in enumerate(PEAKS)) + ") p(ord, chip, peak)"
+_FLOPS = "(layers::BIGINT * (4 * context::BIGINT * d_model * d_model + 4 * context::BIGINT * d_model * (kv_heads * (d_model // q_heads)) + 4 * context::BIGINT * context * d_model + (CASE WHEN gate THEN 3 ELSE 2 END) * 2 * context::BIGINT * d_model * d_ff) + 2 * context::BIGINT * d_model * vocab)"
+
+
+def _configs(spark):
+    return spark.createDataFrame(_CONFIGS, _CONFIG_SCHEMA)
+
+
+@query(f"""SELECT name, {_FLOPS}::BIGINT AS flops, chip, round(20000.0::DOUBLE / (batch * context) * 3 * {_FLOPS} * batch / peak, 6) AS mfu
+FROM {_CONFIG_SQL} LEFT JOIN LATERAL (SELECT chip, peak FROM {_PEAK_SQL} WHERE contains(upper(replace(c.device, ' ', '')), upper(chip)) ORDER BY ord LIMIT 1) k ON true""")
+def flops_estimate(spark, d):
+    """Forward cost of a sequence, and the share of the device's peak that 20,000 tokens a second use in training."""
+    peaks = spark.createDataFrame([(i, n, h) for i, (n, h, _) in enumerate(PEAKS)], "ord int, chip string, peak double")
+    return reports.flops(_configs(spark), peaks, 20000.0).select("name", "flops", "chip", F.round("mfu", 6).alias("mfu"))
+
+
+_SHAPES = "(VALUES ('embed', [10000, 512], true), ('head', [10000, 512], true), ('block.0.q', [512, 512], false), ('block.0.ff', [1344, 512], false), ('norm', [512], false)) s(name, shape, tied)"
+
+
+@query(f"SELECT sum(list_product(shape)) FILTER (name <> 'head')::BIGINT AS total, sum(list_product(shape)) FILTER (name NOT IN ('head', 'embed'))::BIGINT AS without_embedding FROM {_SHAPES}")
+def num_parameters(spark, d):
+    rows = [("embed", [10000, 512], "embed"), ("head", [10000, 512], "embed"), ("block.0.q", [512, 512], "block.0.q"), ("block.0.ff", [1344, 512], "block.0.ff"), ("norm", [512], "norm")]
+    return reports.parameters(spark.createDataFrame(rows, "name string, shape array<int>, storage string"), "embed")
+
+
+_CLI = "(VALUES ('lr', '3e-4'), ('steps', '5000'), ('device', 'cuda')) a(k, v)"
+_YAML = "(VALUES ('lr', '1e-3'), ('batch', '64'), ('note', NULL)) b(k, v)"
+_DEFAULT = "(VALUES ('lr', '1e-4'), ('batch', '32'), ('steps', '1000'), ('seed', '0'), ('note', 'none')) c(k, v)"
+
+
+@query(f"SELECT coalesce(a.k, b.k, c.k) AS key, coalesce(a.v, b.v, c.v) AS value FROM {_CLI} FULL JOIN {_YAML} ON a.k = b.k FULL JOIN {_DEFAULT} ON c.k = coalesce(a.k, b.k)")
+def config_resolve(spark, d):
+    layers = [[("lr", "3e-4"), ("steps", "5000"), ("device", "cuda")], [("lr", "1e-3"), ("batch", "64"), ("note", None)], [("lr", "1e-4"), ("batch", "32"), ("steps", "1000"), ("seed", "0"), ("note", "none")]]
+    return reports.resolved(*[spark.createDataFrame(x, "key string, value string") for x in layers])
+
+
+@query("""WITH m AS (SELECT * FROM (VALUES ('embed'), ('block.0.q'), ('norm')) m(name)), c AS (SELECT regexp_replace(name, '^_orig_mod\\.', '') AS name FROM (VALUES ('_orig_mod.embed'), ('_orig_mod.block.0.q'), ('_orig_mod.head')) c(name))
+SELECT name, 'missing' AS status FROM m WHERE name NOT IN (SELECT name FROM c) UNION ALL SELECT name, 'unexpected' FROM c WHERE name NOT IN (SELECT name FROM m)""")
+def state_dict_diff(spark, d):
+    model = spark.createDataFrame([("embed",), ("block.0.q",), ("norm",)], "name string")
+    saved = spark.createDataFrame([("_orig_mod.embed",), ("_orig_mod.block.0.q",), ("_orig_mod.head",)], "name string")
+    return reports.state_difference(model, saved)
+
+
+_BENCH = [(32, 81.3, 116.3), (64, 118.6, 97.9), (128, 95.2, 90.8), (224, 105.5, 115.0)]
+_BENCH_SQL = "(VALUES " + ", ".join(f"({a}, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in _BENCH) + ") b(gen, cached, plain)"
+
+
+@query(f"SELECT min(gen) FILTER (cached / greatest(plain, 1e-6::DOUBLE) > 1) AS crossover FROM {_BENCH_SQL}")
+def kv_crossover(spark, d):
+    return reports.crossover(spark.createDataFrame(_BENCH, "gen int, cached double, plain double"))
+
+
+_RUNS = [("no_rope", 2.41, 17_000_000), ("baseline", 2.33, 17_000_000), ("post_norm", 2.35, 17_000_000), ("silu", 2.30, 16_500_000)]
+_RUNS_SQL = "(VALUES " + ", ".join(f"('{n}', {v}::DOUBLE, {p}::BIGINT)" for n, v, p in _RUNS) + ") r(name, val_loss, params)"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY val_loss, name) AS place, name, val_loss, round(exp(val_loss), 4) AS val_ppl, round(val_loss - coalesce((SELECT val_loss FROM {_RUNS_SQL} WHERE name = 'baseline'), (SELECT min(val_loss) FROM {_RUNS_SQL})), 6) + 0.0 AS delta, params FROM {_RUNS_SQL}")
+def ablation_report(spark, d):
+    out = reports.ablations(spark.createDataFrame(_RUNS, "name string, val_loss double, params long"))
+    return out.select("place", "name", "val_loss", F.round("val_ppl", 4).alias("val_ppl"), (F.round("delta", 6) + 0.0).alias("delta"), "params")
+
+
+@query("SELECT 'd' || d AS name, ((8 * d // 3 + 63) // 64 * 64)::INT AS d_ff FROM (VALUES (128), (256), (384), (512), (640)) v(d)")
+def feed_forward_width(spark, d):
+    """8/3 of the model's width, rounded up to a multiple of 64."""
+    return reports.widths(spark.createDataFrame([(x,) for x in (128, 256, 384, 512, 640)], "d int"))

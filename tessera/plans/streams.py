@@ -1 +1,48 @@
-"""."""
+"""Streams, and the numpy transformer."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.functions.text import pretokens
+from tessera.operators import transformer
+from tessera.plans.base import query, sql_pretokens, table
+from tessera.plans.metrics import ids_of
+from tessera.sources.scratch import shared_dir
+from tessera.streaming import decoder
+
+
+@query(f"SELECT conv_id, turn, {sql_pretokens('text')} AS words FROM conversations")
+def stream_encode(spark, d):
+    """Conversations as a stream, pre-tokenized as they come; the rows are those of the batch."""
+    schema = table(spark, d, "conversations").schema
+    source = spark.readStream.schema(schema).parquet(f"{d}/conversations*.parquet")
+    at = f"{shared_dir(spark)}/stream-encode-{uuid.uuid4().hex}"
+    return decoder.run_available(source, lambda s: s.select("conv_id", "turn", pretokens("text").alias("words")), f"{at}/out", f"{at}/state")
+
+
+@query("SELECT conv_id * 100 + turn AS stream, text FROM conversations WHERE text <> ''")
+def streaming_decode(spark, d):
+    """Each turn's bytes decoded one by one, and the pieces joined."""
+    t = table(spark, d, "conversations").withColumn("stream", F.col("conv_id") * 100 + F.col("turn"))
+    pieces = decoder.decode_batch(decoder.byte_tokens(t, "stream"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "")
+    return pieces.groupBy("stream").agg(text.alias("text"))
+
+
+@query()
+def transformer_forward(spark, d):
+    """The mean loss of each window of 64 bytes, the model's context, of each turn, under seeded weights."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn"), F.expr(ids_of("text")).alias("t")).where("size(t) > 0")
+    t = t.select("turn", F.posexplode(F.expr("transform(sequence(1, size(t), 64), s -> slice(t, s, 64))")).alias("w", "ids"))
+    nll = transformer.score(t.select((F.col("turn") * 10_000 + F.col("w")).alias("seq"), "ids"), transformer.Transformer())
+    return nll.select("seq", F.round("nll", 6).alias("nll"))
+
+
+@query()
+def generate(spark, d):
+    """Sixteen ids after each user turn, by the likeliest each time."""
+    t = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
+    return transformer.generate(t, transformer.Transformer(), 16, 64)

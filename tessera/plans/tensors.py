@@ -1 +1,145 @@
-"""."""
+"""Layers on the embeddings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import tensor
+from tessera.plans.base import query, table
+
+_X = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"
+
+
+def _weight(rows: int, cols: int, a: int, b: int) -> list[list[float]]:
+    """A fixed matrix: ((i * a + j * b) mod 13 - 6) / 10."""
+    return [[((i * a + j * b) % 13 - 6) / 10.0 for j in range(cols)] for i in range(rows)]
+
+
+def _sql_weight(rows: int, cols: int, a: int, b: int) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{v}::DOUBLE" for v in r) + "]" for r in _weight(rows, cols, a, b)) + "]"
+
+
+def _sql_linear(x: str, w: str) -> str:
+    return f"list_transform({w}, lambda w: list_dot_product({x}, w))"
+
+
+def _round(c, n=6):
+    return F.transform(c, lambda v: F.round(v, n) + 0.0)
+
+
+_ROUND = "list_transform({}, lambda v: round(v, 6) + 0.0)"
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", tensor.doubles("embedding").alias("x"))
+
+
+@query(f"WITH {_X} SELECT vec_id, {_ROUND.format(_sql_linear('x', _sql_weight(16, 64, 31, 17)))} AS y FROM e")
+def linear(spark, d):
+    return _vectors(spark, d).select("vec_id", _round(tensor.linear(F.col("x"), tensor.matrix(_weight(16, 64, 31, 17)))).alias("y"))
+
+
+@query(f"WITH {_X} SELECT vec_id, {_ROUND.format('list_transform(x, lambda v, i: v / sqrt(list_dot_product(x, x) / 64 + 1e-5::DOUBLE) * (1 + i / 64.0::DOUBLE))')} AS y FROM e")
+def rms_norm(spark, d):
+    gain = F.array(*[F.lit(1 + (i + 1) / 64.0) for i in range(64)])
+    return _vectors(spark, d).select("vec_id", _round(tensor.rms_norm(F.col("x"), gain)).alias("y"))
+
+
+_ANGLE = "(vec_id * pow(10000::DOUBLE, -2.0::DOUBLE * ((i - 1) // 2) / 64))"
+
+
+@query(f"WITH {_X} SELECT vec_id, list(round(CASE WHEN i % 2 = 1 THEN x[i] * cos{_ANGLE} - x[i + 1] * sin{_ANGLE} ELSE x[i - 1] * sin{_ANGLE} + x[i] * cos{_ANGLE} END, 6) + 0.0 ORDER BY i) AS y FROM e, unnest(range(1, 65)) u(i) GROUP BY vec_id")
+def rope(spark, d):
+    return _vectors(spark, d).select("vec_id", _round(tensor.rope(F.col("x"), F.col("vec_id"), 64)).alias("y"))
+
+
+_G = _sql_linear("x", _sql_weight(32, 64, 7, 11))
+_H = _sql_linear("x", _sql_weight(32, 64, 5, 3))
+
+
+@query(f"WITH {_X}, h AS (SELECT vec_id, {_G} AS g, {_H} AS h FROM e), s AS (SELECT vec_id, list_transform(g, lambda v, i: v / (1 + exp(-v)) * h[i]) AS s FROM h) SELECT vec_id, {_ROUND.format(_sql_linear('s', _sql_weight(64, 32, 3, 7)))} AS y FROM s")
+def swiglu(spark, d):
+    w = [tensor.matrix(_weight(*a)) for a in ((32, 64, 7, 11), (32, 64, 5, 3), (64, 32, 3, 7))]
+    x = _vectors(spark, d).withColumn("s", F.zip_with(tensor.linear(F.col("x"), w[0]), tensor.linear(F.col("x"), w[1]), lambda g, h: tensor.silu(g) * h))
+    return x.select("vec_id", _round(tensor.linear(F.col("s"), w[2])).alias("y"))
+
+
+def _attention_sql(real: str = "true", groups: int = 1) -> str:
+    return f"""WITH {_X}, r AS (SELECT vec_id // 50 AS seq, h AS head, vec_id % 50 AS pos, x[h * 16 + 1 : h * 16 + 16] AS q, x[(h // {groups}) * 16 + 17 : (h // {groups}) * 16 + 32] AS k, x[(h // {groups}) * 8 + 1 : (h // {groups}) * 8 + 8] AS v FROM e, unnest([0, 1]) u(h)),
+    s AS (SELECT a.seq, a.head, a.pos, list_dot_product(a.q, b.k) / sqrt(16) AS s, b.v FROM r a JOIN r b ON a.seq = b.seq AND a.head = b.head AND b.pos <= a.pos WHERE {real}),
+    w AS (SELECT seq, head, pos, v, exp(s - max(s) OVER (PARTITION BY seq, head, pos)) AS e FROM s)
+    SELECT seq, head::INT AS head, pos, [{", ".join(f"round(sum(e * v[{j}]) / sum(e), 6) + 0.0" for j in range(1, 9))}] AS y FROM w GROUP BY seq, head, pos"""
+
+
+def _heads(spark, d, groups: int = 1):
+    x = F.col("x")
+    rows = []
+    for h in range(2):
+        own = h % groups == 0  # with groups, only every groups-th head has keys of its own
+        g = h // groups
+        k = F.slice(x, g * 16 + 17, 16) if groups == 1 or own else F.lit(None).cast("array<double>")
+        rows.append(F.struct(F.lit(h).alias("head"), F.slice(x, h * 16 + 1, 16).alias("q"), k.alias("k"), F.slice(x, g * 8 + 1, 8).alias("v")))
+    t = _vectors(spark, d).select(F.floor(F.col("vec_id") / 50).alias("seq"), (F.col("vec_id") % 50).alias("pos"), F.explode(F.array(*rows)).alias("h"))
+    return t.select("seq", "pos", "h.*", F.lit(True).alias("real"))
+
+
+def _out(a):
+    return a.select("seq", "head", "pos", _round(F.col("out")).alias("y"))
+
+
+@query(_attention_sql())
+def causal_attention(spark, d):
+    return _out(tensor.attention(_heads(spark, d)))
+
+
+@query(_attention_sql())
+def chunked_attention(spark, d):
+    return _out(tensor.attention(_heads(spark, d), chunk=16))
+
+
+@query(_attention_sql("b.pos < 40 OR b.pos = a.pos"))
+def masked_attention(spark, d):
+    """Places from 40 on are padding; a padded query still sees itself, so that it has a value."""
+    rows = _heads(spark, d)
+    real = tensor.attention(rows.withColumn("real", F.col("pos") < 40)).where("pos < 40")
+    rest = tensor.attention(_own_key(rows)).where("pos >= 40").withColumn("seq", F.col("seq.seq"))
+    return _out(real.unionByName(rest))
+
+
+def _own_key(rows):
+    """Each padded query in a sequence of its own, with the real keys and itself."""
+    pad = rows.where("pos >= 40").select("seq", F.col("pos").alias("own"), "head").distinct()
+    all_ = rows.join(pad, ["seq", "head"]).where("pos < 40 or pos = own")
+    return all_.withColumn("seq", F.struct("seq", "own"))
+
+
+@query(_attention_sql(groups=2))
+def gqa_attention(spark, d):
+    """Two query heads on one key head."""
+    rows = _heads(spark, d, groups=2)
+    return _out(tensor.attention(rows, groups=2))
+
+
+@query("SELECT d.doc_id, e.vec_id, e.label, round(list_sum(e.embedding)::DOUBLE, 4) AS total FROM documents d JOIN embeddings e ON e.vec_id = d.n_chars % 500")
+def embedding_lookup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 500).alias("vec_id"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.round(F.aggregate(tensor.doubles("embedding"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    return docs.join(e, "vec_id").select("doc_id", "vec_id", "label", "total")
+
+
+_PARAMS = f"{_X}, p AS (SELECT vec_id, i, x[i] AS theta, x[65 - i] AS grad, x[i] / 10 AS m, x[i] * x[i] AS v, vec_id % 5 AS t FROM e, unnest(range(1, 65)) u(i))"
+
+
+@query(f"""WITH {_PARAMS}, s AS (SELECT vec_id, i, theta, t + 1 AS t, 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * grad AS m, 0.95::DOUBLE * v + (1 - 0.95::DOUBLE) * grad * grad AS v FROM p)
+SELECT vec_id, i - 1 AS i, t, round((theta - 1e-3::DOUBLE * sqrt(1 - pow(0.95::DOUBLE, t)) / (1 - pow(0.9::DOUBLE, t)) * m / (sqrt(v) + 1e-8::DOUBLE)) * (1 - 1e-3::DOUBLE * 0.1::DOUBLE), 9) AS theta, round(m, 9) AS m, round(v, 9) AS v FROM s""")
+def adamw_step(spark, d):
+    p = _vectors(spark, d).select("vec_id", F.posexplode("x").alias("i", "theta"), "x")
+    p = p.select("vec_id", F.col("i").cast("long").alias("i"), "theta", F.expr("element_at(x, 64 - i)").alias("grad"), (F.col("theta") / 10).alias("m"), (F.col("theta") * F.col("theta")).alias("v"), (F.col("vec_id") % 5).alias("t"))
+    s = tensor.adamw(p, 1e-3, 0.9, 0.95, 1e-8, 0.1)
+    return s.select("vec_id", "i", "t", *[F.round(c, 9).alias(c) for c in ("theta", "m", "v")])
+
+
+@query(f"WITH {_PARAMS}, n AS (SELECT sqrt(sum(grad * grad)) AS norm FROM p) SELECT vec_id, i - 1 AS i, round(norm, 6) AS norm, round(CASE WHEN norm > 1 THEN grad * (1 / (norm + 1e-6::DOUBLE)) ELSE grad END, 9) AS grad FROM p, n")
+def clip_grad_norm(spark, d):
+    p = _vectors(spark, d).select("vec_id", F.posexplode(F.reverse("x")).alias("i", "grad"))
+    return tensor.clip_norm(p, 1.0).select("vec_id", F.col("i").cast("long").alias("i"), F.round("norm", 6).alias("norm"), F.round("grad", 9).alias("grad"))
