@@ -6,7 +6,7 @@ r = log((p + 1) / (|p| + 2)) - log((q + 1) / (|q| + 2)), with p and q the number
 either label that hold the n-gram and |p|, |q| the documents. A logistic regression with an L2
 penalty learns weights for the features times r.
 
-It is fitted on the driver on at most `most_toxic` + `most_clean` labelled documents (by a hash of
+Features are hashed to 2**SLOT_BITS slots. It is fitted on the driver on at most `most_toxic` + `most_clean` labelled documents (by a hash of
 their ids) outside the held-out fifth, and keeps the `most_features` n-grams that differ most.
 Scoring reads every whole text. Null and empty texts get the score that the constant gives. Rows
 with null doc_id are scored, count as not held out and are never trained on. Without any labelled
@@ -29,16 +29,17 @@ from pyspark.sql import functions as F
 from .textops import BYTE, U, flat, mix, powers, slices
 
 GRAMS = (4, 5, 6)
-MOST_TOXIC, MOST_CLEAN = 2500, 4500
+MOST_TOXIC, MOST_CLEAN = 1500, 2500
 MOST_FEATURES = 30_000
-SLICE_BYTES = 2 << 20
-TABLE_BITS = 22
+SLICE_BYTES = 1 << 19
+#: An n-gram's feature is the top bits of its hash.
+SLOT_BITS = 23
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
 def grams(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of n characters, and n_docs + 1 offsets. data holds a blank before each text (see folded)."""
+    """Slots of all runs of n characters, and n_docs + 1 offsets. data holds a blank before each text (see folded)."""
     first = np.flatnonzero((data & 0xC0) != 0x80)
     pw, inv = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -47,7 +48,7 @@ def grams(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     edge = np.append(first, len(data))
     m = max(0, len(first) - n + 1)
     a, z = edge[:m], edge[n : n + m]
-    h = mix((sums[z] - sums[a]) * inv[a] + U(n))
+    h = (mix((sums[z] - sums[a]) * inv[a] + U(n)) >> U(64 - SLOT_BITS)).astype(np.int64)
     doc_end = np.repeat(at[1:], np.diff(at))[:m]
     ok = np.arange(m) + n <= doc_end
     return h[ok], np.concatenate([[0], np.cumsum(ok)])[np.minimum(at, m)]
@@ -68,11 +69,11 @@ class Model:
         self.keys, self.weights, self.bias, self.name = keys[order], weights[order], bias, uuid.uuid4().hex
 
     def table(self) -> np.ndarray:
-        """Which top bits of a hash some key has; built once for each worker process."""
+        """Which slots have a weight; built once for each worker process."""
         home = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
         if getattr(home, "toxic_name", None) != self.name:
-            home.toxic = np.zeros(1 << TABLE_BITS, bool)
-            home.toxic[(self.keys >> U(64 - TABLE_BITS)).astype(np.int64)] = True
+            home.toxic = np.zeros(1 << SLOT_BITS, bool)
+            home.toxic[self.keys] = True
             home.toxic_name = self.name
         return home.toxic
 
@@ -81,58 +82,63 @@ class Model:
         if len(self.keys):
             table = self.table()
             data, offs = folded(data, offs)
+            pairs = []
             for n in GRAMS:
                 h, at = grams(data, offs, n)
-                on = np.flatnonzero(table[(h >> U(64 - TABLE_BITS)).astype(np.int64)])
-                k = np.minimum(np.searchsorted(self.keys, h[on]), len(self.keys) - 1)
-                hit = self.keys[k] == h[on]
-                doc = np.searchsorted(at, on[hit], "right") - 1
-                pair = np.unique(doc * len(self.keys) + k[hit])
-                out += np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], len(out))
+                on = np.flatnonzero(table[h])
+                doc = np.searchsorted(at, on, "right") - 1
+                pairs.append(doc * len(self.keys) + np.searchsorted(self.keys, h[on]))
+            pair = np.unique(np.concatenate(pairs))
+            out += np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], len(out))
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
+def _slots(data: np.ndarray, offs: np.ndarray):
+    """Each document's number and distinct slots."""
+    for i, j in slices(offs, SLICE_BYTES):
+        some, at = folded(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        found = [grams(some, at, n) for n in GRAMS]
+        for d in range(j - i):
+            yield i + d, np.unique(np.concatenate([h[own[d] : own[d + 1]] for h, own in found]))
+
+
+def _differing(counts: np.ndarray, n1: float, n0: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots that differ most between the labels, by the statistic of the two shares, ascending, and their log-count ratios."""
+    slots, stats = [], []
+    step = 1 << 20
+    for a in range(0, counts.shape[1], step):
+        q, p = counts[0, a : a + step].astype(float), counts[1, a : a + step].astype(float)
+        share = (p + q) / (n1 + n0)
+        z = np.abs(p / n1 - q / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+        on = np.flatnonzero((z >= 3) & (p + q >= 3))
+        slots.append(on + a)
+        stats.append(z[on])
+    slots, stats = np.concatenate(slots), np.concatenate(stats)
+    slots = np.sort(slots[np.argsort(-stats, kind="stable")[:most]])
+    r = np.log((counts[1, slots] + 1.0) / (n1 + 2)) - np.log((counts[0, slots] + 1.0) / (n0 + 2))
+    return slots.astype(np.int64), r
+
+
 def fit(texts: list[str], toxic: list[int], most_features: int = MOST_FEATURES, penalty: float = 1e-3, steps: int = 300) -> Model:
-    """A model from labelled texts, on the driver."""
+    """A model from fewer than 65,536 labelled texts, on the driver."""
     y = np.array(toxic, float)
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         share = n1 / len(y) if len(y) else 0.5
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -6, 6)))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -6, 6)))
     data, offs = flat(pa.array(texts, pa.large_string()))
-    docs, keys = [], []
-    for i, j in slices(offs, SLICE_BYTES):
-        some, at = folded(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        for n in GRAMS:
-            h, own = grams(some, at, n)
-            for d in range(j - i):
-                u = np.unique(h[own[d] : own[d + 1]])
-                keys.append(u)
-                docs.append(np.full(len(u), i + d, np.int32))
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    keys, docs = [], []
-    order = np.argsort(key)
-    key, doc = key[order], doc[order]
-    cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, np.int64)
-    if not len(cut):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(n1 / n0)))
-    size = np.diff(np.append(cut, len(key)))
-    p = np.add.reduceat(y[doc], cut)
-    q = size - p
-    r = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
-    # the features that differ most between the labels, by the statistic of the two shares
-    share = size / len(y)
-    z = np.abs(p / n1 - q / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z[size < 3] = 0
-    best = np.flatnonzero(z >= 3)
-    best = best[np.argsort(-z[best], kind="stable")][:most_features]
-    take = np.zeros(len(cut), bool)
-    take[best] = True
-    column = np.cumsum(take) - 1
-    which = np.repeat(np.arange(len(cut)), size)
-    on = take[which]
-    row, col = doc[on], column[which[on]]
-    r, key = r[take], key[cut[take]]
+    counts = np.zeros((2, 1 << SLOT_BITS), np.uint16)
+    for i, slots in _slots(data, offs):
+        counts[toxic[i], slots] += 1
+    slots, r = _differing(counts, n1, n0, most_features)
+    del counts
+    row, col = [], []
+    for i, own in _slots(data, offs):
+        k = np.minimum(np.searchsorted(slots, own), max(0, len(slots) - 1))
+        k = k[slots[k] == own] if len(slots) else k[:0]
+        col.append(k.astype(np.int32))
+        row.append(np.full(len(k), i, np.int32))
+    row, col = np.concatenate(row), np.concatenate(col)
     # gradient steps with momentum terms on the whole sample; either label weighs half
     w, b = np.zeros(len(r)), 0.0
     weigh = np.where(y == 1, 0.5 / n1, 0.5 / n0)
@@ -146,7 +152,7 @@ def fit(texts: list[str], toxic: list[int], most_features: int = MOST_FEATURES,
         w, b = w - step[:-1], b - step[-1]
     own = w * r
     keep = np.abs(own) > 1e-4
-    return Model(key[keep], own[keep], float(b))
+    return Model(slots[keep], own[keep], float(b))
 
 
 def held_out(doc_id) -> F.Column:
