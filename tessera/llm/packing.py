@@ -34,7 +34,7 @@ from .textops import flat
 from .tokens import encoded
 
 CAPACITY = 2048
-GROUPS = 96
+GROUPS = 256
 SMALL = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -92,7 +92,8 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int) -> tuple[list
     total = sum(counts.values())
     bases, sizes, need, filled = [], [], [], 0
     for v in sorted(counts, reverse=True):
-        if not sizes or need[-1] and filled * groups >= total * len(sizes):
+        hot = counts[v] * groups >= total  # a group's worth alone: not to be rounded up
+        if not sizes or hot or filled * groups >= total * len(sizes):
             sizes.append(v)
             need.append(0)
         bases.append((v, len(sizes) - 1, need[-1]))

@@ -79,6 +79,7 @@ def unpack(raw: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     start = np.frombuffer(raw, np.uint64, nb, at + 6 * nb).astype(np.int64)
     body = np.frombuffer(raw, np.uint8, -1, at + 14 * nb) if len(raw) > at + 14 * nb else np.zeros(0, np.uint8)
     last = nb if last is None else min(last, nb)
+    first = min(first, last)
     out = np.zeros((last - first, BLOCK), np.uint32)
     for w in np.unique(width[first:last]):
         at = np.flatnonzero(width[first:last] == w)
