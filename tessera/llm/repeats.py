@@ -35,7 +35,9 @@ from .store import Scratch, parts
 from .textops import BYTE, U, blob, flat, mix, slices, unblob
 
 WINDOW, K = 100, 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: At a hash's place, entries are ranked in so many shares by further bits of the hash, to bound memory.
+SHARES = 64
 _LOW48 = U((1 << 48) - 1)
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 _ROW = "part int, kind int, payload binary"
@@ -92,7 +94,7 @@ def _pack(p: int):
             ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             ties = batch.column("tie").to_numpy(zero_copy_only=False)
             dest = (mix(ids.view(np.uint64).copy()) % U(p)).astype(np.int64)
-            for i, j in slices(offs, SLICE_BYTES * 4):
+            for i, j in slices(offs, SLICE_BYTES * 8):
                 order = np.argsort(dest[i:j], kind="stable") + i
                 d = dest[order]
                 cut = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [j - i]])
@@ -225,18 +227,20 @@ def _entries(part: _Part, shared: dict[int, np.ndarray], p: int, window: int):
         at, h, dest = at[on], h[on], dest[on]
         doc = np.searchsorted(offs, at, "right") - 1
         lo, hi = offs[doc], offs[doc + 1]
-        col = at[:, None] - reach + np.arange(reach + window)[None, :]
-        inside = (col >= lo[:, None]) & (col < hi[:, None])
-        rows = data[np.clip(col, 0, len(data) - 1)]
-        rows[~inside] = 0
-        yield ids, ties, data, offs, (doc, at, h, dest, rows, np.maximum(0, reach - (at - lo)), np.minimum(reach + window, reach + hi - at))
+        first, last = np.maximum(0, reach - (at - lo)), np.minimum(reach + window, reach + hi - at)
+        padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(window, np.uint8)])
+        rows = np.lib.stride_tricks.sliding_window_view(padded, reach + window)[at]
+        col = np.arange(reach + window, dtype=np.int16)
+        rows[(col < first[:, None].astype(np.int16)) | (col >= last[:, None].astype(np.int16))] = 0
+        yield ids, ties, data, offs, (doc, at, h, dest, rows, first, last)
 
 
 def _entry_hash(h: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A63):
         weight = mix(np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * U(seed))
-        out.append(mix((BYTE[rows] * weight).sum(1, dtype=np.uint64) + h * U(3) + (first * 1000 + last).astype(np.uint64) * U(seed)))
+        total = [(BYTE[rows[a : a + 4096]] * weight).sum(1, dtype=np.uint64) for a in range(0, len(rows), 4096)] or [np.zeros(0, np.uint64)]
+        out.append(mix(np.concatenate(total) + h * U(3) + (first * 1000 + last).astype(np.uint64) * U(seed)))
     return out[0], out[1]
 
 
@@ -261,7 +265,7 @@ def _send_entries(p: int, window: int):
         cut, sent = _cuts(dest[order]), []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             o = order[a:b]
-            sent.append((int(dest[o[0]]), 1, blob(np.array([part.number], np.int64), x[o], y[o], ids[o], ties[o], place[o], first[o].astype(np.uint8), last[o].astype(np.uint8), np.frombuffer(z.compress(rows[o].tobytes()), np.uint8))))
+            sent.append((int(dest[o[0]]), 1, blob(np.array([part.number], np.int64), x[o], y[o], ids[o], ties[o], place[o], first[o].astype(np.uint8), last[o].astype(np.uint8), (h[o] & U(SHARES - 1)).astype(np.uint8), np.frombuffer(z.compress(rows[o].tobytes()), np.uint8))))
         yield _out(sent)
 
     return send
@@ -290,13 +294,17 @@ def _first_starts(window: int):
         z, got = _zstd().ZstdDecompressor(), []
         for batch in batches:
             for raw in batch.column("payload").to_pylist():
-                part, *c, text = unblob(raw, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
+                part, *c, text = unblob(raw, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
                 rows = np.frombuffer(z.decompress(text.tobytes()), np.uint8).reshape(-1, width)
                 got.append((np.full(len(rows), part[0]), *c, rows))
         if not got:
             return
-        part, x, y, ids, ties, place, first, last, rows = (np.concatenate(c) for c in zip(*got, strict=True))
-        got = []
+        got = [np.concatenate(c) for c in zip(*got, strict=True)]
+        share = got.pop(-2)
+        for k in np.unique(share).tolist():
+            yield from answers(*(c[share == k] for c in got))
+
+    def answers(part, x, y, ids, ties, place, first, last, rows):
         order = np.lexsort((place, ties, ids, y, x))
         new = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])
         entry = np.empty(len(x), np.int64)
