@@ -272,17 +272,17 @@ def _send_entries(p: int, window: int):
 
 
 def suffix_classes(rows: np.ndarray, window: int) -> np.ndarray:
-    """Ranks of each row's suffixes by their first `window` bytes, for each start that leaves so many: prefix doubling over the dictionary."""
-    n, m = rows.shape
-    rank, have = rows.astype(np.int64), 1
+    """Names of each row's suffixes by their first `window` bytes, for each start that leaves so many: prefix
+    doubling over the dictionary, where 64-bit fingerprints of two halves' names name the whole."""
+    name, have = BYTE[rows], 1
+
+    def joined(x: np.ndarray, far: int) -> np.ndarray:
+        return mix(x[:, : x.shape[1] - far] * U(0xE7037ED1A0B428DB) + x[:, far:])
+
     while have * 2 <= window:
-        rank = rank[:, : m - 2 * have + 1] * (n * m + 256) + rank[:, have : have + m - 2 * have + 1]
-        rank = np.unique(rank, return_inverse=True)[1].reshape(rank.shape)
+        name = joined(name, have)
         have *= 2
-    if have < window:
-        rank = rank[:, : m - window + 1] * (n * m + 256) + rank[:, window - have : window - have + m - window + 1]
-        rank = np.unique(rank, return_inverse=True)[1].reshape(rank.shape)
-    return rank
+    return joined(name, window - have) if have < window else name
 
 
 def _first_starts(window: int):
