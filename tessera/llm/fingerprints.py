@@ -1,7 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame functions only.
 
-A text is cut at line feeds and after sentence ends; the distinct non-empty pieces' 64-bit hashes are
-its digests. A sketch has CELLS cells of (count, xor of digests, xor of checks); each digest is in one
+A text's paragraphs are its lines; the distinct non-empty ones' 64-bit hashes are its digests. A sketch has CELLS cells of (count, xor of digests, xor of checks); each digest is in one
 cell of each third. Equal texts have equal sketches. Two sketches subtract cell by cell, which leaves
 the digests that differ; peeling takes a cell of one digest, removes it from its other cells, and goes
 on until nothing is left. If it gets stuck, the retry is larger: the digests are dealt out by hash to
@@ -20,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .store import parts
 
-CELLS, SHARE, RETRIES = 48, 12, 4
-PIECE_ENDS = r"\\n|(?<=[.!?]) "
+CELLS, SHARE, RETRIES = 48, 8, 4
+#: Peeling that takes more rounds than this counts as stuck; the retry has more cells.
+ROUNDS = 8
+PIECE_ENDS = r"\\n"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -30,8 +31,8 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _spots(x: str, m: int, salt: int) -> str:
-    third = m // 3
-    return "array(" + ", ".join(f"cast(pmod(xxhash64({x}, {salt * 8 + k}), {third}) as int) + {k * third}" for k in range(3)) + ")"
+    """SQL fields p0, p1, p2: a digest's place in each third."""
+    return ", ".join(f"'p{k}', cast(pmod(xxhash64({x}, {salt * 8 + k}), {m // 3}) as int)" for k in range(3))
 
 
 def _check(x: str) -> str:
@@ -48,9 +49,9 @@ def digests(text: str) -> str:
 
 def sketch(signed: str, m: int = CELLS, salt: int = 0) -> str:
     """SQL for the cells of an array of (c, x): signs and digests."""
-    hits = f"transform({signed}, e -> named_struct('c', e.c, 'x', e.x, 'y', {_check('e.x')}, 'p', {_spots('e.x', m, salt)}))"
-    cell = f"aggregate(filter(h, e -> e.p[cast(j div {m // 3} as int)] = j), {_ZERO}, (s, e) -> named_struct('c', s.c + e.c, 'x', s.x ^ e.x, 'y', s.y ^ e.y))"
-    return _let(hits, "h", f"transform(sequence(0, {m - 1}), j -> {cell})")
+    hits = f"transform({signed}, e -> named_struct('c', e.c, 'x', e.x, 'y', {_check('e.x')}, {_spots('e.x', m, salt)}))"
+    thirds = [f"transform(sequence(0, {m // 3 - 1}), j -> aggregate(filter(h, e -> e.p{k} = j), {_ZERO}, (s, e) -> named_struct('c', s.c + e.c, 'x', s.x ^ e.x, 'y', s.y ^ e.y)))" for k in range(3)]
+    return _let(hits, "h", f"concat({', '.join(thirds)})")
 
 
 def signed(array: str, sign: int) -> str:
@@ -62,13 +63,14 @@ def minus(a: str, b: str) -> str:
 
 
 def peel(cells: str, m: int = CELLS, salt: int = 0) -> str:
-    """SQL for the (c, x) that the cells hold: signs and digests; null if peeling gets stuck."""
+    """SQL for the (c, x) that the cells hold: signs and digests; null (whose size is null) if peeling gets stuck."""
     pure = f"array_distinct(transform(filter(s.t, w -> abs(w.c) = 1 and w.y = {_check('w.x')}), w -> named_struct('c', w.c, 'x', w.x)))"
-    placed = f"transform(q, e -> named_struct('c', e.c, 'x', e.x, 'y', {_check('e.x')}, 'p', {_spots('e.x', m, salt)}))"
-    left = f"transform(s.t, (w, j) -> aggregate(filter(r, e -> e.p[cast(j div {m // 3} as int)] = j), w, (v, e) -> named_struct('c', v.c - e.c, 'x', v.x ^ e.x, 'y', v.y ^ e.y)))"
+    placed = f"transform(q, e -> named_struct('c', e.c, 'x', e.x, 'y', {_check('e.x')}, {_spots('e.x', m, salt)}))"
+    thirds = [f"transform(slice(s.t, {k * (m // 3) + 1}, {m // 3}), (w, j) -> aggregate(filter(r, e -> e.p{k} = j), w, (v, e) -> named_struct('c', v.c - e.c, 'x', v.x ^ e.x, 'y', v.y ^ e.y)))" for k in range(3)]
+    left = f"concat({', '.join(thirds)})"
     step = _let(pure, "q", f"if(size(q) = 0, s, named_struct('t', {_let(placed, 'r', left)}, 'f', concat(s.f, q)))")
     start = f"named_struct('t', {cells}, 'f', filter(array(named_struct('c', 0L, 'x', 0L)), e -> false))"
-    done = f"aggregate(sequence(1, {m}), {start}, (s, i) -> {step})"
+    done = f"aggregate(sequence(1, {ROUNDS}), {start}, (s, i) -> {step})"
     return _let(done, "z", "if(exists(z.t, w -> w.c <> 0 or w.x <> 0 or w.y <> 0), null, z.f)")
 
 
@@ -76,9 +78,8 @@ def _sub_difference(entries: str) -> str:
     """SQL for the number of digests that differ in a share of both versions' signed digests."""
     tries = []
     for k in range(RETRIES):
-        m = 36 << k
+        m = 24 << k
         tries.append(f"size({peel(sketch(entries, m, k + 1), m, k + 1)})")
-    tries = [f"nullif({t}, -1)" for t in tries]
     outright = f"size(filter(transform({entries}, e -> e.x), x -> size(filter({entries}, o -> o.x = x)) = 1))"
     return f"coalesce({', '.join(tries)}, {outright})"
 
@@ -95,7 +96,7 @@ def larger_difference(a: str, b: str) -> str:
 
 def likeness(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """SQL for the likeness of two texts from their sketches; the digest arrays serve the retries."""
-    differ = f"coalesce(cast(nullif(size({peel(minus(cells_a, cells_b))}), -1) as bigint), {larger_difference(a, b)})"
+    differ = f"coalesce(cast(size({peel(minus(cells_a, cells_b))}) as bigint), {larger_difference(a, b)})"
     return f"if({cells_a} = {cells_b} and size({a}) = size({b}), 1D, {_let(differ, 'gap', f'(size({a}) + size({b}) - gap) / 2D / ((size({a}) + size({b}) - gap) / 2D + gap)')})"
 
 
