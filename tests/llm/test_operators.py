@@ -247,7 +247,7 @@ def test_split_blocks_lose_no_link(spark, monkeypatch):
     assert got == components({i: shingles(t) for i, t in rows})
 
 
-@pytest.mark.parametrize("bucket", [24, 1])
+@pytest.mark.parametrize("bucket", [64, 1])
 def test_lines(spark, bucket):
     rng = random.Random(9)
     long = " ".join(f"w{rng.randint(0, 999)}" for _ in range(400))
