@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import LOWER, edges, flat, run_hashes, slices, word_table
+from .textops import LOWER, edges, flat, run_hashes, slices, word_table, small
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -205,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     blocks = windows_of(benchmark, window)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names = batch.column("doc_id")
             data, offs = flat(batch.column("text"))
             for i, j in slices(offs, SHARD_BYTES):
@@ -238,7 +238,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, offs = flat(batch.column("text"))
             for i, j in slices(offs, SHARD_BYTES):
                 some, base = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .textops import flat
+from .textops import flat, small
 from .tokens import encoded
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, kind: str = "blanks", end_id:
     """Each document's pieces: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names = batch.column("doc_id")
             data, offs = flat(batch.column("text"))
             for i, ids, at in encoded(tokenizer, kind, data, offs, end_id):

@@ -132,3 +132,10 @@ def unblob(raw: bytes, *types) -> list[np.ndarray]:
         out.append(np.frombuffer(raw, t, int(n), at))
         at += int(n) * np.dtype(t).itemsize
     return out
+
+
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices of at most `rows` rows, so that what is copied out of a batch stays small."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch, parts
-from .textops import flat
+from .textops import flat, small
 from .tokens import encoded
 
 BLOCK = 128
@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, kind: str, end
             d.clear(), s.clear(), t.clear()
             return row
 
-        for batch in batches:
+        for batch in small(batches):
             if len(batch) == 0:
                 continue
             part = batch.column("part")[0].as_py()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import BYTE, U, flat, mix, powers, slices
+from .textops import BYTE, U, flat, mix, powers, slices, small
 
 GRAMS = (4, 5, 6)
 MOST_TOXIC, MOST_CLEAN = 1500, 2500
@@ -178,7 +178,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     names = docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             data, offs = flat(batch.column("text"))
             scores = [sent.value.scores(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in slices(offs, SLICE_BYTES)]
             s = np.concatenate(scores) if scores else np.zeros(0)
