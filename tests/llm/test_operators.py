@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import contamination, fingerprints, language, lines, packing, pii, repeats, similarity, store, token_files, toxicity
@@ -271,6 +272,52 @@ def test_lines(spark, bucket):
     assert 1 not in gone or 0 in gone[1]
 
 
+def _groups(spark, forms):
+    """The component of each form by like_lines; its own place if it has none."""
+    keyed = spark.createDataFrame([(f,) for f in forms], "form string")
+    found = lines.like_lines(keyed, store.Scratch(spark, "lines"))
+    got = {bytes(r.line): bytes(r.component) for r in found.collect()}
+    return [got.get(hashlib.md5(f.encode()).digest(), k) for k, f in enumerate(forms)]
+
+
+def _edited(rng, form, kind):
+    w = form.split(" ")
+    if kind == "letters":
+        c = list(form)
+        for i in rng.sample(range(len(c)), max(1, len(c) // 25)):
+            c[i] = rng.choice("aeiou")
+        return " ".join("".join(c).split())
+    for i in rng.sample(range(len(w)), 1 if kind == "word" else max(1, len(w) // 8)):
+        w[i] = "".join(rng.choice("bdgkz") for _ in range(5))
+    return " ".join(w)
+
+
+def test_line_search_finds_most_similar_pairs(spark):
+    """Against the edit similarity of all pairs, without any search condition."""
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    forms = sorted({f for r in docs for f in line_forms(r.text or "") if 5 <= len(f) <= 1200})
+    kinds = ("word", "eighth", "letters")
+    forms = rng.sample(forms, min(400, len(forms)))
+    forms = sorted({*forms, *(_edited(rng, f, kinds[k % 3]) for k, f in enumerate(forms))})
+    df = spark.createDataFrame(list(enumerate(forms)), "i long, x string").repartition(8)
+    pairs = df.join(df.selectExpr("i as j", "x as y"), F.expr("i < j and least(length(x), length(y)) >= 0.79 * greatest(length(x), length(y))"))
+    pairs = [tuple(r) for r in pairs.where("levenshtein(x, y, cast(floor(greatest(length(x), length(y)) * 0.2D + 1e-9D) as int)) >= 0").select("i", "j").collect()]
+    group = _groups(spark, forms)
+    for low, high in ((5, 48), (48, 100), (100, 250), (250, 2000)):
+        some = [(i, j) for i, j in pairs if low <= len(forms[i]) < high]
+        assert len(some) > 20 and sum(group[i] == group[j] for i, j in some) >= 0.9 * len(some)
+
+
+def test_line_search_takes_long_words_and_reordered_long_lines(spark):
+    rng = random.Random(14)
+    word = "".join(rng.choice("abcdefgh") for _ in range(300))
+    many = [f"w{k}x{rng.randint(0, 99)}" for k in range(900)]
+    forms = [word, word[:150] + "zz" + word[151:], " ".join(many), " ".join(rng.sample(many, len(many)))]
+    group = _groups(spark, forms)
+    assert group[0] == group[1] != group[2] == group[3]
+
+
 def test_components(spark):
     rng = random.Random(10)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
