@@ -318,6 +318,17 @@ def test_line_search_takes_long_words_and_reordered_long_lines(spark):
     assert group[0] == group[1] != group[2] == group[3]
 
 
+def test_chains_of_lines_with_one_word_in_most_places(spark):
+    """Each is like the next ones only; one word is over half of every line, so whole-word SimHashes are equal."""
+    rng = random.Random(13)
+    forms = []
+    for _ in range(6):
+        old, new = (["".join(rng.choice(s) for _ in range(6)) for _ in range(5)] for s in ("abcdef", "uvwxyz"))
+        forms.append([" ".join(["0"] * 7 + new[:k] + old[k:]) for k in range(6)])
+    group = _groups(spark, [f for chain in forms for f in chain])
+    assert [len(set(group[6 * k : 6 * k + 6])) for k in range(6)] == [1] * 6 and len(set(group)) == 6
+
+
 def test_components(spark):
     rng = random.Random(10)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
