@@ -84,11 +84,10 @@ def _send(k: int, p: int):
                 sums = np.concatenate([[U(0)], np.cumsum(mix(tokens))]).astype(np.uint64)
                 owner = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64) * U(0x9FB21C651E98DF25))
                 yield _rows((owner % U(p)).astype(np.int32), 0, names[i:j], owner, n)
-                _, first = np.unique(owner, return_index=True)
+                able = np.flatnonzero((n > 0) & once[i:j].astype(bool))
+                _, first = np.unique(owner[able], return_index=True)
                 sends = np.zeros(j - i, bool)
-                sends[first] = True
-                sends &= n > 0
-                sends &= once[i:j].astype(bool)
+                sends[able[first]] = True
                 doc = np.repeat(np.arange(j - i), n)
                 on = sends[doc]
                 tokens, doc = tokens[on], doc[on]

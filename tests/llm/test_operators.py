@@ -235,6 +235,14 @@ def test_similarity(spark, docs, texts, empty):
     assert {r.doc_id for r in similarity.keep_one_of_each(df).collect()} == {i for i in sets if want[i] == i}
 
 
+def test_hot_texts_in_descending_order_keep_their_near_copies(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near = [base.replace("w30 ", f"new{k} ") for k in range(3)]
+    rows = [(100 - k, base) for k in range(70)] + [(3 - k, t) for k, t in enumerate(near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in similarity.similar_components(df).collect()} == {1}
+
+
 def test_split_blocks_lose_no_link(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 99999)}" for _ in range(60)]
