@@ -35,6 +35,12 @@ def test_fingerprints(docs, texts, empty):
     assert twice.count() == 2
 
 
+def test_sentences_of_one_line_are_pieces(spark):
+    a = "One two three. Four five! Six seven? Eight nine."
+    df = spark.createDataFrame([(1, a), (2, a.replace("Four", "Ten"))], "doc_id long, text string")
+    assert [(r.n_pieces, r.near_next) for r in fingerprints.fingerprints(df).collect()] == [(4, pytest.approx(3 / 5))] * 2
+
+
 def test_larger_retry_finds_all(spark):
     rng = random.Random(1)
     a = [rng.getrandbits(62) for _ in range(700)]
