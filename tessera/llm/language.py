@@ -42,8 +42,9 @@ def visible_text(html: str | Column) -> Column:
 
 
 def declared_language(html: str) -> Column:
-    """The first two or three letters of the html element's lang attribute, or ''."""
-    tag = F.regexp_extract(F.substring(html, 1, 4000), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
+    """The first two or three letters of the html element's lang attribute, wherever it stands outside comments and scripts, or ''."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    tag = F.regexp_extract(bare, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
     return F.coalesce(F.lower(tag), F.lit(""))
 
 

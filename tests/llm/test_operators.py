@@ -167,6 +167,12 @@ def test_language(spark, docs, empty):
     assert language.identify(p, empty).count() == len(rows)
 
 
+def test_declared_language_after_a_long_preamble(spark):
+    late = "<!-- <html lang='xx'> " + "licence " * 1000 + "-->" + " " * 3000 + "<script>var x = '<html lang=yy>';</script><html class='" + "c " * 3000 + "' lang='de'>"
+    df = spark.createDataFrame([(late,), ("<html lang=fr>",), ("<p lang='it'>",), (None,)], "html string")
+    assert [r[0] for r in df.select(language.declared_language("html")).collect()] == ["de", "fr", "", ""]
+
+
 def test_contamination(spark, docs, texts, empty):
     rng = random.Random(6)
     passage = texts[9][1].split("\n")[0].split()
