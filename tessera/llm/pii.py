@@ -29,6 +29,8 @@ DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9])"
+#: A country code up to a sign, or else by the prefix rules of E.164.
+_COUNTRY = "^[+](?:[0-9]{1,3}(?=[ .(-])|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 ANY = "|".join((EMAIL, PHONE, DATE, SSN, IP, CARD))
 
 
@@ -88,8 +90,8 @@ def card(m: str, key: str, invert: bool) -> str:
 
 
 def phone(m: str, key: str, invert: bool) -> str:
-    """The first run of digits is the country code."""
-    head = f"regexp_extract({m}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"
+    """The first run of digits is the country code; if it is longer than 3, E.164's prefix rules cut the code off."""
+    head = f"regexp_extract({m}, '{_COUNTRY}', 0)"
     return _let(head, "head", f"concat(head, {_let(f'substring({m}, length(head) + 1)', 'tail', _put('tail', _signs(_codes('tail'), key, 'phone', invert)))})")
 
 
@@ -142,7 +144,7 @@ def _kind(m: str) -> str:
     digits = f"length(regexp_replace({m}, '[^0-9]', ''))"
     return f"""case
         when contains({m}, '@') then 'email'
-        when startswith({m}, '+') then if({digits} between 8 and 15 and {m} rlike '^[+][0-9]{{1,3}}[ .(-]', 'phone', null)
+        when startswith({m}, '+') then if({digits} between 8 and 15 and {m} rlike '{_COUNTRY}', 'phone', null)
         when {m} rlike '^([0-9]{{4}}[-/][0-9]{{2}}[-/]|[0-9]{{2}}[./][0-9]{{2}}[./])' and {m} rlike '^[0-9./-]{{10}}$' then if({_day(m)} between 0 and {_DAYS - 1}, 'date', null)
         when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then if({valid_ssn(m)}, 'ssn', null)
         when contains({m}, '.') then if(forall(split({m}, '[.]'), p -> cast(p as int) < 256 and p = cast(cast(p as int) as string)), 'ip', null)

@@ -227,6 +227,16 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymize(days, "k").select("text").distinct().count() == days.count()
 
 
+def test_compact_phone_numbers(spark):
+    df = spark.createDataFrame([(1, "+12025550123 or +4930123456789, +353861234567; not +0123456789")], "doc_id long, text string")
+    got = pii.pseudonymize(df, "k")
+    r = got.first()
+    assert r.pii_kinds == ["phone"] * 3 and r.pii_values == ["+12025550123", "+4930123456789", "+353861234567"]
+    for old, new, code in zip(r.pii_values, r.pii_pseudonyms, ("+1", "+49", "+353"), strict=True):
+        assert new != old and new.startswith(code) and re.fullmatch(r"[+][0-9]+", new) and len(new) == len(old)
+    assert pii.pseudonymize(got.select("doc_id", "text"), "k", invert=True).first().text == df.first().text
+
+
 def test_similarity(spark, docs, texts, empty):
     rng = random.Random(7)
     base = [f"w{rng.randint(0, 99999)}" for _ in range(120)]
