@@ -1,4 +1,4 @@
-"""Removal of repeated strings by prefix-free parsing: exact, over whole texts as bytes.
+"""Removal of repeated strings by prefix-free parsing, over whole texts as bytes; exact but for collisions of 64-bit fingerprints.
 
 A byte goes if it lies in a `window`-byte string of its document that also starts earlier: in a
 document with a smaller doc_id, or earlier in the same. Strings are judged on the input.
@@ -10,8 +10,8 @@ every window holds one and equal windows hold equal ones; they cut the text into
     passage that many documents share arrives once from each part; hashes of one occurrence are done.
  2. Around each trigger left, the phrase with what a window can reach on either side is a dictionary
     entry. A part sends each distinct entry once, with its first place in the part.
- 3. At a hash's place, entries of all parts are one dictionary. Prefix doubling ranks its suffixes to
-    the depth of a window, and the first places, which stand for the parse, give each class of equal
+ 3. At a hash's place, entries of all parts are one dictionary. Prefix doubling names its suffixes to
+    the depth of a window by fingerprints, without ranking them, and the first places give each class of equal
     windows its first start in corpus order.
  4. Each part hears, for its entries, where their windows start first; a window that starts there
     later is repeated. Its documents' repeated windows are merged and cut out.
