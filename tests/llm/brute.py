@@ -2,9 +2,7 @@
 
 import re
 
-import numpy as np
 import regex
-import xxhash
 
 
 def lower(x):
@@ -16,7 +14,7 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def _closed(nodes, linked):
+def closed(nodes, linked):
     top = {k: k for k in nodes}
 
     def find(a):
@@ -37,7 +35,7 @@ def components(sets):
         i = len(sets[a] & sets[b])
         return bool(i) and 100 * i >= 80 * len(sets[a] | sets[b])
 
-    return _closed(sorted(sets), linked)
+    return closed(sorted(sets), linked)
 
 
 def windows_hit(text, items, window=10):
@@ -59,19 +57,10 @@ def windows_hit(text, items, window=10):
 
 
 def line_forms(text):
-    return [x.strip(" ") for x in regex.sub(r"[^\p{L}\p{N}\n]+", " ", text.lower()).split("\n")]
+    return [x.strip(" ") for x in regex.sub(r"[^\p{L}\p{M}\p{N}\n]+", " ", text.lower()).split("\n")]
 
 
-def _simhash(form, seed):
-    w = form.split(" ")
-    total = np.zeros(128, int)
-    for x in w:
-        a, b = xxhash.xxh64(x.encode(), seed=42).intdigest(), xxhash.xxh64(x.encode(), seed=seed).intdigest()
-        total += np.array([(a >> k) & 1 for k in range(64)] + [(b >> k) & 1 for k in range(64)])
-    return 2 * total > len(w)
-
-
-def _distance(a, b):
+def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -81,11 +70,6 @@ def _distance(a, b):
     return row[-1]
 
 
-def fuzzy_groups(forms, seed):
-    """Components of forms within 3 bits and of edit similarity 0.8; of equal hashes, only links to the least by MD5 that is similar, round by round."""
-    h = {f: _simhash(f, seed) for f in forms}
-
-    def linked(a, b):
-        return (h[a] != h[b]).sum() <= 3 and _distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
-
-    return _closed(forms, linked)
+def fuzzy_groups(forms):
+    """Components of forms of edit similarity 0.8 at least."""
+    return closed(forms, lambda a, b: edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
