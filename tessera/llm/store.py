@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,11 @@ class Scratch:
         to = jvm.org.apache.hadoop.fs.Path(path)
         to.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
+    def sweep(self) -> None:
+        """Lets the driver's JVM find steps that are done, so that Spark's cleaner deletes their shuffle files before the next ones come."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
