@@ -28,7 +28,7 @@ class Scratch:
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, name: str) -> None:
