@@ -6,8 +6,9 @@ r = log((p + 1) / (|p| + 2)) - log((q + 1) / (|q| + 2)), with p and q the number
 either label that hold the n-gram and |p|, |q| the documents. A logistic regression with an L2
 penalty learns weights for the features times r.
 
-Features are hashed to 2**SLOT_BITS slots. It is fitted on the driver on at most `most_toxic` + `most_clean` labelled documents (by a hash of
-their ids) outside the held-out fifth, and keeps the `most_features` n-grams that differ most.
+Features are hashed to 2**SLOT_BITS slots. It is fitted in one task on at most `most_toxic` + `most_clean` labelled documents (by a hash of
+their ids, and of these as many as hold SAMPLE_BYTES) outside the held-out fifth, and keeps the `most_features` n-grams that differ most.
+Of rows with the same doc_id the fit takes the least text.
 Scoring reads every whole text. Null and empty texts get the score that the constant gives. Rows
 with null doc_id are scored, count as not held out and are never trained on. Without any labelled
 document of either kind, the score is 0.5 for a kind that is missing altogether or the share of
@@ -31,6 +32,7 @@ from .textops import BYTE, U, flat, mix, powers, slices, small
 GRAMS = (4, 5, 6)
 MOST_TOXIC, MOST_CLEAN = 1500, 2500
 MOST_FEATURES = 30_000
+SAMPLE_BYTES = 64 << 20
 SLICE_BYTES = 1 << 19
 #: An n-gram's feature is the top bits of its hash.
 SLOT_BITS = 23
@@ -120,7 +122,7 @@ def _differing(counts: np.ndarray, n1: float, n0: float, most: int) -> tuple[np.
 
 
 def fit(texts: list[str], toxic: list[int], most_features: int = MOST_FEATURES, penalty: float = 1e-3, steps: int = 300) -> Model:
-    """A model from fewer than 65,536 labelled texts, on the driver."""
+    """A model from fewer than 65,536 labelled texts."""
     y = np.array(toxic, float)
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
@@ -164,12 +166,24 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(most_clean))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most most_toxic + most_clean rows
-    texts, toxic = [], []
-    for row in sorted(rows.select("doc_id", "text", "toxic").collect(), key=lambda x: (x[0], x[1] or "")):
-        texts.append(row["text"] or "")
-        toxic.append(row["toxic"])
-    return fit(texts, toxic)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most most_toxic + most_clean ids
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("turn"), F.col("doc_id").cast("long").alias("doc_id"))
+    got = rows.repartition(1).mapInArrow(_fitted, "keys binary, weights binary, bias double").first()
+    return Model(np.frombuffer(got["keys"], np.int64), np.frombuffer(got["weights"], float), got["bias"]) if got else fit([], [])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample's model as a row; the sample fits into a task by its bounds."""
+    rows = sorted((row["turn"], row["doc_id"], row["toxic"], row["text"] or "") for batch in batches for row in batch.to_pylist())
+    texts, toxic, size = [], [], 0
+    for _, _, y, text in rows:
+        size += len(text.encode())
+        if size > SAMPLE_BYTES and texts:
+            break
+        texts.append(text)
+        toxic.append(y)
+    model = fit(texts, toxic)
+    yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["keys", "weights", "bias"])
 
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
