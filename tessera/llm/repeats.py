@@ -1,21 +1,27 @@
-"""Removal of repeated strings by prefix-free parsing, over whole texts as bytes; exact but for collisions of 64-bit fingerprints.
+"""Removal of repeated strings by prefix-free parsing, over whole texts as bytes.
 
 A byte goes if it lies in a `window`-byte string of its document that also starts earlier: in a
 document with a smaller doc_id, or earlier in the same. Strings are judged on the input.
 
-Triggers are places whose rolling hash of K bytes is the least among some window's K-byte strings, so
-every window holds one and equal windows hold equal ones; they cut the text into phrases.
+The trigger of a window is its K-byte string with the least rolling hash, so every window has one, equal windows
+have equal ones in equal places, and it stands between two phrases: what the windows of a trigger reach to
+its left, and what they reach from it on. A document is parsed into the phrases at its triggers.
 
  1. Documents are dealt to parts. Each part sends the distinct hashes of its triggers once, so that a
     passage that many documents share arrives once from each part; hashes of one occurrence are done.
- 2. Around each trigger left, the phrase with what a window can reach on either side is a dictionary
-    entry. A part sends each distinct entry once, with its first place in the part.
- 3. At a hash's place, entries of all parts are one dictionary. Prefix doubling names its suffixes to
-    the depth of a window by fingerprints, without ranking them, and the first places give each class of equal
-    windows its first start in corpus order.
+ 2. Around each trigger left, its two phrases are an entry. A part sends each distinct entry once, with its
+    first place in the part.
+ 3. At a hash's place, the left phrases of all parts are the dictionary, and what follows them is the parse.
+    Both are sorted as suffix arrays with the lengths of common prefixes: the dictionary by the phrases'
+    suffixes up to the trigger, the parse by the strings from it on. A window is a suffix of a phrase and a
+    prefix of what follows, so the two ranks at those lengths combine to its class, byte for byte, and
+    the first places give each class its first start in corpus order.
  4. Each part hears, for its entries, where their windows start first; a window that starts there
     later is repeated. Its documents' repeated windows are merged and cut out.
 
+There is no single array of the whole corpus: it is dealt out by trigger, and only runs of windows travel. Entries are
+told apart by 128 bits of hashes on their way; windows are compared by their bytes.
+
 Texts travel packed and compressed. Null text is empty. Documents with equal doc_id are ordered by a
 hash of their text; rows equal in both are one document. Null doc_ids come first. Extra columns are
 ignored.
@@ -36,8 +42,10 @@ from .textops import BYTE, U, blob, flat, mix, slices, unblob
 
 WINDOW, K = 100, 32
 SLICE_BYTES = 2 << 20
-#: At a hash's place, entries are ranked in so many shares by further bits of the hash, to bound memory.
-SHARES = 64
+#: At a hash's place, whole hashes of about so many entries together are ranked at a time, to bound memory.
+SHARE = 1 << 15
+#: A window's trigger is the first with the least upper bits of its hash; the lower bits hold its place.
+_PLACE = U((1 << 36) - 1)
 _LOW48 = U((1 << 48) - 1)
 _TOP = U(0xFFFFFFFFFFFFFFFF)
 _ROW = "part int, kind int, payload binary"
@@ -62,20 +70,22 @@ def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
     return f(out[: len(out) - (n - have)], out[n - have :]) if n > have else out
 
 
-def triggers(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all triggers, ascending, and their hashes."""
+def triggers(data: np.ndarray, offs: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all triggers, ascending, their hashes, and the first and last start of the windows that have each."""
     n, span = len(data), window - k + 1
+    none = np.zeros(0, np.int64)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, np.zeros(0, np.uint64), none, none
     h = _rolling(data, k)
-    low = _sliding(h, span, np.minimum)
-    end = np.repeat(offs[1:], np.diff(offs))[: len(low)]
-    low[np.arange(len(low)) + window > end] = 0
-    wide = np.zeros(len(h) + span - 1, np.uint64)
-    wide[span - 1 : span - 1 + len(low)] = low
-    high = _sliding(wide, span, np.maximum)
-    at = np.flatnonzero((high[: len(h)] == h) & (h > 0))
-    return at, h[at]
+    at = (_sliding((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), span, np.minimum) & _PLACE).astype(np.int64)
+    end = np.repeat(offs[1:], np.diff(offs))[: len(at)]
+    start = np.flatnonzero(np.arange(len(at)) + window <= end)  # windows within a document
+    at = at[start]
+    if not len(at):
+        return none, np.zeros(0, np.uint64), none, none
+    turn = np.flatnonzero(at[1:] != at[:-1]) + 1
+    lo, hi = np.concatenate([[0], turn]), np.append(turn, len(at))
+    return at[lo], h[at[lo]], start[lo], start[hi - 1]
 
 
 def _zstd():
@@ -148,10 +158,15 @@ def _send_hashes(p: int, window: int):
     def send(batches):
         part, found = _Part(batches), []
         for _, _, data, offs in part.slices():
-            found.append(triggers(data, offs, window)[1])
+            h, n = np.unique(triggers(data, offs, window)[1], return_counts=True)
+            found.append(np.stack([h, n.astype(np.uint64)]))
         if not found:
             return
-        h, n = np.unique(np.concatenate(found), return_counts=True)
+        h, n = np.concatenate(found, axis=1)
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        h, n = h[first], np.add.reduceat(n, first) if len(h) else n
         dest = _deal(h, p)
         rows, cut = [], _cuts(dest)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -211,7 +226,7 @@ def _entries(part: _Part, shared: dict[int, np.ndarray], p: int, window: int):
         edge = np.concatenate([[0], np.cumsum([len(shared[d]) for d in dests])])
         dests = np.array(dests)
     for ids, ties, data, offs in part.slices():
-        at, h = triggers(data, offs, window)
+        at, h, begin, until = triggers(data, offs, window)
         if keys is None or not len(at):
             yield ids, ties, data, offs, None
             continue
@@ -224,10 +239,9 @@ def _entries(part: _Part, shared: dict[int, np.ndarray], p: int, window: int):
         whole, ask = (rank << U(48)) | keys, (k.astype(np.uint64) << U(48)) | low
         s = np.minimum(np.searchsorted(whole, ask), len(whole) - 1)
         on = known & (whole[s] == ask)
-        at, h, dest = at[on], h[on], dest[on]
+        at, h, dest, begin, until = at[on], h[on], dest[on], begin[on], until[on]
         doc = np.searchsorted(offs, at, "right") - 1
-        lo, hi = offs[doc], offs[doc + 1]
-        first, last = np.maximum(0, reach - (at - lo)), np.minimum(reach + window, reach + hi - at)
+        first, last = reach - (at - begin), reach + until - at + window
         padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(window, np.uint8)])
         rows = np.lib.stride_tricks.sliding_window_view(padded, reach + window)[at]
         col = np.arange(reach + window, dtype=np.int16)
@@ -265,44 +279,88 @@ def _send_entries(p: int, window: int):
         cut, sent = _cuts(dest[order]), []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             o = order[a:b]
-            sent.append((int(dest[o[0]]), 1, blob(np.array([part.number], np.int64), x[o], y[o], ids[o], ties[o], place[o], first[o].astype(np.uint8), last[o].astype(np.uint8), (h[o] & U(SHARES - 1)).astype(np.uint8), np.frombuffer(z.compress(rows[o].tobytes()), np.uint8))))
+            sent.append((int(dest[o[0]]), 1, blob(np.array([part.number], np.int64), x[o], y[o], ids[o], ties[o], place[o], first[o].astype(np.uint8), last[o].astype(np.uint8), h[o], np.frombuffer(z.compress(rows[o].tobytes()), np.uint8))))
         yield _out(sent)
 
     return send
 
 
-def suffix_classes(rows: np.ndarray, window: int) -> np.ndarray:
-    """Names of each row's suffixes by their first `window` bytes, for each start that leaves so many: prefix
-    doubling over the dictionary, where 64-bit fingerprints of two halves' names name the whole."""
-    name, have = BYTE[rows], 1
+def suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes in lexical order, as each row's rank, and how many bytes each rank has in common with the one before."""
+    n, width = rows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows
+    order = np.lexsort(wide.view(">u8").astype(np.uint64).T[::-1])
+    rank, common = np.empty(n, np.int64), np.zeros(n, np.int16)
+    rank[order] = np.arange(n)
+    for a in range(1, n, 4096):
+        own = rows[order[a - 1 : a + 4096]]
+        same = own[1:] == own[:-1]
+        common[a : a + 4096] = np.where(same.all(1), width, same.argmin(1))
+    return rank, common
+
+
+def first_windows(rows: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Of distinct entries: runs of windows as (entry, offset, number, document, place) of where the run's windows start first in the corpus.
+
+    Consecutive windows of an entry are one run while their first starts move along. Memory is a few numbers for an entry.
+    """
+    reach, n = rows.shape[1] - window, len(rows)
+    left, left_common = suffix_array(rows[:, :reach][:, ::-1])  # read from the trigger back: suffixes of phrases are prefixes
+    right, right_common = suffix_array(rows[:, reach:])
+    start = np.full(n, -1)  # of the run that an entry is in; what it had first, and its length
+    source, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    out = []
 
-    def joined(x: np.ndarray, far: int) -> np.ndarray:
-        return mix(x[:, : x.shape[1] - far] * U(0xE7037ED1A0B428DB) + x[:, far:])
+    def close(own: np.ndarray) -> None:
+        own = own[start[own] >= 0]
+        out.append(np.stack([own, start[own], size[own], source[own] >> 40, source[own] & ((1 << 40) - 1)]))
+        start[own] = -1
 
-    while have * 2 <= window:
-        name = joined(name, have)
-        have *= 2
-    return joined(name, window - have) if have < window else name
+    for o in range(reach + 1):
+        own = np.flatnonzero((first <= o) & (o + window <= last))
+        close(np.flatnonzero((start >= 0) & ((first > o) | (o + window > last))))
+        if not len(own):
+            continue
+        # windows are equal if as much of the phrase before the trigger is, and as much from it on
+        cls = np.cumsum(left_common < reach - o)[left[own]] * (n + 1) + np.cumsum(right_common < window - (reach - o))[right[own]]
+        key = doc[own] << 40 | (place[own] - reach + o)
+        by = np.lexsort((key, cls))
+        head = np.concatenate([[True], cls[by][1:] != cls[by][:-1]])
+        least = np.empty(len(by), np.int64)
+        least[by] = key[by][head][np.cumsum(head) - 1]
+        on = (start[own] >= 0) & (source[own] + size[own] == least)
+        close(own[~on])
+        size[own[on]] += 1
+        new = own[~on]
+        start[new], source[new], size[new] = o, least[~on], 1
+    close(np.arange(n))
+    e, o, m, d, p = np.concatenate(out, axis=1)
+    order = np.lexsort((o, e))
+    return e[order], o[order], m[order], d[order], p[order]
 
 
 def _first_starts(window: int):
     """At the hashes' place: for each entry, runs of its windows and where they start first."""
-    reach = window - K
-    width = reach + window
+    width = window - K + window
 
     def answer(batches):
         z, got = _zstd().ZstdDecompressor(), []
         for batch in batches:
             for raw in batch.column("payload").to_pylist():
-                part, *c, text = unblob(raw, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
-                rows = np.frombuffer(z.decompress(text.tobytes()), np.uint8).reshape(-1, width)
-                got.append((np.full(len(rows), part[0]), *c, rows))
+                part, *c, text = unblob(raw, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint64, np.uint8)
+                got.append((np.full(len(c[0]), part[0]), *c, np.frombuffer(z.decompress(text.tobytes()), np.uint8).reshape(-1, width)))
         if not got:
             return
         got = [np.concatenate(c) for c in zip(*got, strict=True)]
-        share = got.pop(-2)
-        for k in np.unique(share).tolist():
-            yield from answers(*(c[share == k] for c in got))
+        h = got.pop(-2)
+        order = np.argsort(h, kind="stable")
+        cut = _cuts(h[order])
+        a = 0
+        while a < len(order):
+            b = int(cut[min(len(cut) - 1, max(np.searchsorted(cut, a, "right"), np.searchsorted(cut, a + SHARE, "right") - 1))])
+            yield from answers(*(c[order[a:b]] for c in got))
+            a = b
 
     def answers(part, x, y, ids, ties, place, first, last, rows):
         order = np.lexsort((place, ties, ids, y, x))
@@ -310,27 +368,13 @@ def _first_starts(window: int):
         entry = np.empty(len(x), np.int64)
         entry[order] = np.cumsum(new) - 1
         top = order[new]  # each entry's first place in the corpus
-        rank = suffix_classes(rows[top], window)
-        o = np.arange(rank.shape[1])
-        ok = (o[None, :] >= first[top][:, None]) & (o[None, :] + window <= last[top][:, None])
         docs = np.lexsort((ties[top], ids[top]))
         step = np.concatenate([[0], np.cumsum((ids[top][docs][1:] != ids[top][docs][:-1]) | (ties[top][docs][1:] != ties[top][docs][:-1]))])
         doc = np.empty(len(top), np.int64)
         doc[docs] = step
-        start = place[top][:, None] - reach + o[None, :]
-        e, k = np.nonzero(ok)
-        cls, key = rank[e, k], (doc[e] << 40) | start[e, k]
-        by = np.lexsort((key, cls))
-        head = np.concatenate([[True], cls[by][1:] != cls[by][:-1]]) if len(by) else np.zeros(0, bool)
-        least = np.empty(len(by), np.int64)
-        least[by] = key[by][head][np.cumsum(head) - 1] if len(by) else 0
-        # runs: consecutive windows of an entry whose first starts move along
-        turn = np.ones(len(e), bool)
-        turn[1:] = (e[1:] != e[:-1]) | (k[1:] != k[:-1] + 1) | (least[1:] != least[:-1] + 1)
-        a = np.flatnonzero(turn)
-        size = np.diff(np.append(a, len(e)))
-        name = docs[np.searchsorted(step, least[a] >> 40)] if len(a) else a
-        run_of, from_, src_id, src_tie, src = e[a], k[a], ids[top][name], ties[top][name], least[a] & ((1 << 40) - 1)
+        run_of, from_, size, name, src = first_windows(rows[top], first[top], last[top], doc, place[top], window)
+        name = docs[np.searchsorted(step, name)]
+        src_id, src_tie = ids[top][name], ties[top][name]
         lo, hi = np.searchsorted(run_of, np.arange(len(top))), np.searchsorted(run_of, np.arange(len(top)), "right")
         turn = np.argsort(part, kind="stable")
         cut, sent = _cuts(part[turn]), []
@@ -400,7 +444,7 @@ def _cut(p: int, window: int, with_kept: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_kept: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes."""
     spark = docs.sparkSession
-    p, scratch = min(parts(spark), 65_535), Scratch(spark, "repeats")
+    p, scratch = min(2 * parts(spark), 65_535), Scratch(spark, "repeats")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
 
     def packed() -> DataFrame:

@@ -70,6 +70,34 @@ def test_repeats(docs, texts, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_runs_and_of_hot_triggers(spark):
+    """Runs of one byte or of two have a trigger at each; one passage stands between ever other words; rows repeat."""
+    rng = random.Random(17)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    rows = [(1, "x" * 3000), (2, "y" * 150 + "x" * 500 + "y" * 150), (3, "ab" * 700), (4, "b" + "ab" * 60), (5, "z" * 99), (6, "z" * 100), (7, "z" * 101)]
+    rows += [(10 + k, "".join(rng.choice("klmn") for _ in range(rng.randint(20, 90))) + passage + "".join(rng.choice("pq") for _ in range(rng.randint(20, 90)))) for k in range(60)]
+    rows += [(200 + k, rows[7 + k][1][:110] + "é") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r)[:5] for r in repeats.remove_repeats(df).collect()) == _brute_repeats(rows)
+
+
+def test_phrases_and_parse_rank_windows():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (300, 168)).astype(np.uint8)
+    rows[100:200] = rows[:100]
+    rows[100:200, :30] = 97
+    rank, common = repeats.suffix_array(rows)
+    order = np.argsort(rank)
+    assert [rows[k].tobytes() for k in order] == sorted(r.tobytes() for r in rows)
+    e, o, m, d, p = repeats.first_windows(rows, np.zeros(300, np.int64), np.full(300, 168), np.arange(300), np.full(300, 1000), 100)
+    seen = {}
+    for k in range(300):
+        for s in range(69):
+            seen.setdefault((s, rows[k, s : s + 100].tobytes()), (k, 1000 - 68 + s))
+    got = {(a, b + i): (x, y + i) for a, b, n, x, y in zip(e.tolist(), o.tolist(), m.tolist(), d.tolist(), p.tolist()) for i in range(n)}
+    assert got == {(k, s): seen[s, rows[k, s : s + 100].tobytes()] for k in range(300) for s in range(69)}
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 127, 128, 129, 4000):
