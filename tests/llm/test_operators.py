@@ -201,8 +201,7 @@ def test_declared_language_after_a_long_preamble(spark):
     assert [r[0] for r in df.select(language.declared_language("html")).collect()] == ["de", "fr", "", ""]
 
 
-def test_contamination(spark, docs, texts, empty):
-    rng = random.Random(6)
+def test_contamination(spark, docs, texts, empty, monkeypatch):
     passage = texts[9][1].split("\n")[0].split()
     items = [(0, " ".join(passage[5:30])), (1, "one TWO, three. four"), (2, None), (3, "..."), (4, " ".join(passage[20:45])), (5, "a"), (6, "no such words anywhere at all"), (6, " ".join(passage[1:14]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -218,7 +217,18 @@ def test_contamination(spark, docs, texts, empty):
     assert {r.doc_id: r.text for r in left.collect()}[5] == texts[5][1]
     assert contamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert contamination.contamination(empty, bench).count() == 0
-    del rng
+    # blocks of one or two items are a pass each, with the same rows
+    want = sorted(map(repr, contamination.contamination(docs, bench).collect()))
+    cut = sorted(map(repr, left.collect()))
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", 20)
+    assert sorted(map(repr, contamination.contamination(docs, bench).collect())) == want
+    assert sorted(map(repr, contamination.remove_contamination(docs, bench).collect())) == cut
+    # an item without an id hits words, but is not listed; repeated documents are judged each
+    nameless = spark.createDataFrame([(None, "one two three four"), (7, "one two three four"), (7, "one two three four")], "item_id long, text string")
+    got = [r for r in contamination.contamination(docs.unionByName(docs), nameless).collect() if r.contaminated]
+    assert got and len(got) % 2 == 0 and all(r.item_ids == ["7"] for r in got)
+    alone = contamination.contamination(docs, nameless.where("item_id is null")).where("contaminated").collect()
+    assert len(alone) == len(got) / 2 and all(r.n_items == 0 and r.n_hit for r in alone)
 
 
 def test_index_counts_and_places():
