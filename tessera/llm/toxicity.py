@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,34 +122,49 @@ def _differing(counts: np.ndarray, n1: float, n0: float, most: int) -> tuple[np.
     return slots.astype(np.int64), r
 
 
-def fit(texts: list[str], toxic: list[int], most_features: int = MOST_FEATURES, penalty: float = 1e-3, steps: int = 300) -> Model:
+def fit(texts: list[str] | pa.Array, toxic: list[int], most_features: int = MOST_FEATURES, penalty: float = 1e-3, steps: int = 300) -> Model:
     """A model from fewer than 65,536 labelled texts."""
     y = np.array(toxic, float)
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         share = n1 / len(y) if len(y) else 0.5
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -6, 6)))
-    data, offs = flat(pa.array(texts, pa.large_string()))
+    data, offs = flat(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
     counts = np.zeros((2, 1 << SLOT_BITS), np.uint16)
     for i, slots in _slots(data, offs):
         counts[toxic[i], slots] += 1
     slots, r = _differing(counts, n1, n0, most_features)
     del counts
-    row, col = [], []
+    col, size = [], np.zeros(len(y), np.int64)
     for i, own in _slots(data, offs):
         k = np.minimum(np.searchsorted(slots, own), max(0, len(slots) - 1))
         k = k[slots[k] == own] if len(slots) else k[:0]
         col.append(k.astype(np.int32))
-        row.append(np.full(len(k), i, np.int32))
-    row, col = np.concatenate(row), np.concatenate(col)
+        size[i] = len(k)
+    del data
+    col = np.concatenate(col)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[np.argsort(col, kind="stable")]  # documents in order of features
+    each = np.bincount(col, minlength=len(r))
+
+    def sums(values: np.ndarray, index: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Sums of values[index] over runs of n each, some runs at a time."""
+        edge, out, a = np.concatenate([[0], np.cumsum(n)]), np.zeros(len(n)), 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(edge, edge[a] + (1 << 18), "right")) - 1)
+            own = np.flatnonzero(n[a:b]) + a
+            if len(own):
+                out[own] = np.add.reduceat(values[index[edge[a] : edge[b]]], edge[own] - edge[a])
+            a = b
+        return out
+
     # gradient steps with momentum terms on the whole sample; either label weighs half
     w, b = np.zeros(len(r)), 0.0
     weigh = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     m, v = np.zeros(len(r) + 1), np.zeros(len(r) + 1)
     for t in range(1, steps + 1):
-        s = np.bincount(row, (w * r)[col], len(y)) + b
+        s = sums(w * r, col, size) + b
         g = weigh * (1 / (1 + np.exp(-np.clip(s, -500, 500))) - y)
-        grad = np.append(np.bincount(col, g[row], len(r)) * r + penalty * w, g.sum())
+        grad = np.append(sums(g, row, each) * r + penalty * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -167,22 +183,25 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(most_clean))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most most_toxic + most_clean ids
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("turn"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("turn"), F.col("doc_id").cast("long").alias("doc_id"))
     got = rows.repartition(1).mapInArrow(_fitted, "keys binary, weights binary, bias double").first()
     return Model(np.frombuffer(got["keys"], np.int64), np.frombuffer(got["weights"], float), got["bias"]) if got else fit([], [])
 
 
+_SAMPLE = pa.schema([("text", pa.string()), ("toxic", pa.int32()), ("turn", pa.int64()), ("doc_id", pa.int64())])
+
+
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sample's model as a row; the sample fits into a task by its bounds."""
-    rows = sorted((row["turn"], row["doc_id"], row["toxic"], row["text"] or "") for batch in batches for row in batch.to_pylist())
-    texts, toxic, size = [], [], 0
-    for _, _, y, text in rows:
-        size += len(text.encode())
-        if size > SAMPLE_BYTES and texts:
-            break
-        texts.append(text)
-        toxic.append(y)
-    model = fit(texts, toxic)
+    batches = list(batches)
+    table = pa.Table.from_batches(batches) if batches else _SAMPLE.empty_table()
+    turn, ids = (table.column(c).to_numpy() for c in ("turn", "doc_id"))
+    order = np.lexsort((ids, turn))
+    size = np.cumsum(pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy()[order])
+    order = order[: max(1, int(np.searchsorted(size, SAMPLE_BYTES, "right")))]
+    table = table.take(pa.array(order))
+    model = fit(table.column("text").combine_chunks(), table.column("toxic").to_pylist())
+    del table
     yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["keys", "weights", "bias"])
 
 

@@ -180,6 +180,34 @@ def test_toxicity(spark, docs, empty):
     assert left.columns == d.columns and abs(left.count() - 450) < 15
 
 
+def test_scores_add_the_weights_of_a_texts_grams(spark):
+    """Against sets of n-grams in plain Python, with repeated rows, nulls and long texts in the sample."""
+    rng = random.Random(21)
+    rows = [(k, " ".join(rng.choice(["alpha", "Beta!", "gämma", "délta", "vrelk" if k % 3 == 0 else "omega"]) for _ in range(rng.randint(3, 900 if k == 9 else 30)))) for k in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:40], (500, None), (None, "vrelk")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows] + [(500, 0), (None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    assert len(model.keys) and toxicity.train(df, labels).weights.tolist() == model.weights.tolist()
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    table = {}
+
+    def slots(text):
+        text = " " + "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text)
+        found = set()
+        for n in toxicity.GRAMS:
+            for g in {text[i : i + n] for i in range(len(text) - n + 1)}:
+                if g not in table:
+                    raw = np.frombuffer(g.encode(), np.uint8)
+                    table[g] = int(toxicity.grams(raw, np.array([0, len(raw)]), n)[0][0])
+                found.add(table[g])
+        return found
+
+    for r in toxicity.score_documents(df, labels).collect():
+        t = "vrelk" if r.doc_id is None else dict(rows).get(r.doc_id, "")
+        total = model.bias + sum(weight.get(x, 0.0) for x in slots(t))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(4)
     vocab = {"en": ["the", "house", "with", "night", "which"], "de": ["das", "haus", "mit", "nacht", "über"], "fr": ["la", "maison", "avec", "nuit", "été"]}
