@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), "example key, replace it")
+    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), os.environ.get("PII_KEY", "example key, replace it"))
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 

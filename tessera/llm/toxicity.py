@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .textops import BYTE, U, flat, mix, powers, slices, small
 
 GRAMS = (4, 5, 6)
@@ -179,6 +180,7 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """Fits on labelled documents outside the held-out fifth: at most so many of either label."""
+    small_batches(docs.sparkSession)
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(most_clean))
@@ -207,6 +209,7 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs with score double and predicted int."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most most_features keys and weights
     names = docs.columns
 
@@ -229,4 +232,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier predicts toxic."""
-    return toxicity(docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("text").cast("string").alias("text")), train(docs, labels)).where("predicted = 0").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    names = docs.columns
+    plain = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(names)])
+    return toxicity(plain, train(docs, labels)).where("predicted = 0").select(*[F.col(c).alias(name) for c, name in zip(plain.columns, names, strict=True)])

@@ -303,6 +303,32 @@ def test_compact_phone_numbers(spark):
     assert pii.pseudonymize(got.select("doc_id", "text"), "k", invert=True).first().text == df.first().text
 
 
+def test_national_phone_numbers(spark):
+    df = spark.createDataFrame([(1, "call (555) 123-4567 or 555-123-4567 or 555.123.4567, not 1555-123-45678 nor 555-1234-567")], "doc_id long, text string")
+    got = pii.pseudonymize(df, "k")
+    r = got.first()
+    assert r.pii_kinds == ["phone"] * 3 and r.pii_values == ["(555) 123-4567", "555-123-4567", "555.123.4567"]
+    assert len({re.sub("[^0-9]", "", x) for x in r.pii_pseudonyms}) == 1  # one number, in any form
+    assert [re.sub("[0-9]", "0", x) for x in r.pii_pseudonyms] == ["(000) 000-0000", "000-000-0000", "000.000.0000"]
+    assert pii.pseudonymize(got.select("doc_id", "text"), "k", invert=True).first().text == df.first().text
+
+
+def test_pii_of_very_long_texts_and_the_key_stays_out_of_plans(spark):
+    long = "ab.C9" * 20_000
+    rows = [(1, "a@" + "a." * 100_000), (2, long + "@example.com tail"), (3, "x@" * 50_000), (4, "+1 " * 30_000 + "4" * 50_000), (5, "mail a.b@c.com. end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'v' as _values", "'n' as _new", "'k' as _key", "'p' as pii_kinds")
+    out = pii.pseudonymize(df, "very secret key")
+    got = {r.doc_id: r for r in out.collect()}
+    new = got[2].text
+    assert len(new) == len(rows[1][1]) and new.endswith("@example.com tail") and new != rows[1][1]
+    assert re.sub("[a-z]", "a", re.sub("[0-9]", "9", new)) == re.sub("[a-z]", "a", re.sub("[0-9]", "9", rows[1][1])).replace("C", new[3]) or re.fullmatch(r"(?:[a-z]{2}\.[A-Z][0-9])+@example\.com tail", new)
+    assert [got[k].text for k in (1, 3, 4)] == [rows[k - 1][1] for k in (1, 3, 4)]
+    assert got[5].pii_values == ["a.b@c.com"] and got[5].text.endswith("@c.com. end") and (got[5]._values, got[5]._key) == ("v", "k")
+    assert "very secret key" not in out._jdf.queryExecution().toString()
+    back = pii.pseudonymize(out.select("doc_id", "text"), "very secret key", invert=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
+
+
 def test_similarity(spark, docs, texts, empty):
     rng = random.Random(7)
     base = [f"w{rng.randint(0, 99999)}" for _ in range(120)]
