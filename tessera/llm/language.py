@@ -8,8 +8,8 @@ For each language, the log posterior adds up
  host      P(language | host), smoothed towards the registered domain, and that towards all pages,
            without the page's own share
 The last three are estimated from all pages by grouped aggregation of the text's own posteriors, so
-no page needs a label. The likelihood is fitted on at most `sample` documents of each language (by a
-hash of their ids), the classes are the languages found there.
+no page needs a label. The likelihood is fitted on about `sample` documents of each language (by a
+hash of their ids), the classes are the languages found there, MOST_LANGUAGES at most (more are an error).
 
 Null html is an empty text, null url an empty host; an absent attribute or suffix is a value of its
 own. Without any text, the text is no evidence. Ties go to the language code that sorts first. Rows
@@ -19,31 +19,34 @@ values: language and probability are null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, join_spread
 from .textops import LOWER, U, combine, flat, mix, slices, small
 
 SAMPLE, TEXT_RUNS, HOST_WEIGHT, DOMAIN_WEIGHT, SMOOTHING = 300, 25, 4.0, 8.0, 0.5
-SLOT_BITS = 16
+SLOT_BITS, MOST_LANGUAGES = 16, 1000
+# Labels under which countries register names, so that a registered name has one label more.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 SLICE_BYTES = 1 << 20
 
 
-def visible_text(html: str | Column) -> Column:
-    """The text of a page: no scripts, styles, comments, tags or entities; white space as one blank."""
-    html = F.col(html) if isinstance(html, str) else html
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#A-Za-z0-9]{1,10};", " ")
+def visible_text(page: str | Column) -> Column:
+    """The text of a page: no scripts, styles, comments or tags; white space as one blank. Entities stay for `decoded`."""
+    bare = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def declared_language(html: str) -> Column:
+def declared_language(page: str) -> Column:
     """The first two or three letters of the html element's lang attribute, wherever it stands outside comments and scripts, or ''."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
     tag = F.regexp_extract(bare, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", 1)
     return F.coalesce(F.lower(tag), F.lit(""))
 
@@ -52,6 +55,23 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def decoded(texts: pa.Array) -> pa.Array:
+    """Texts with their entities as the characters that they stand for."""
+    found = pc.indices_nonzero(pc.fill_null(pc.match_substring(texts, "&"), False)).to_pylist()
+    if not found:
+        return texts
+    plain = texts.to_pylist()
+    for k in found:
+        plain[k] = html.unescape(plain[k])
+    return pa.array(plain, pa.large_string())
+
+
+def domain_of(host: str) -> Column:
+    """The registered name: the last two labels, or three under a country's second-level label."""
+    three = F.col(host).rlike(r"(^|\.)(" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2}$")
+    return F.when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
 def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all runs of 1 to 3 characters within documents (digits and signs count as blanks), and the document of each."""
     low = LOWER[data]
@@ -76,21 +96,33 @@ def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and each slot's log probability in each, from at most `sample` documents of a language."""
-    known = docs.where("lang is not null and text is not null").select("lang", "doc_id", F.col("text").cast("string").alias("text"))
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(1000).collect())
-    weights = []
-    for lang in langs:
-        # a heap of `sample` rows in each task; no language's rows are sorted as a whole
-        ids = known.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-        texts = [r["text"] for r in known.where(F.col("lang") == lang).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("text").collect()]
-        count = np.full(1 << SLOT_BITS, 0.01)
-        data, offs = flat(pa.array(texts, pa.large_string()))
-        for i, j in slices(offs, SLICE_BYTES):
-            slot, _ = _runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            count += np.bincount(slot, minlength=1 << SLOT_BITS)
-        weights.append(np.log(count / count.sum()))
-    return langs, np.array(weights).reshape(len(langs), 1 << SLOT_BITS)
+    """Languages, and each slot's log probability in each, from about `sample` documents of a language: those whose ids hash below the language's share."""
+    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
+    sizes = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; map what isn't a language code to null")
+    if not sizes:
+        return [], np.zeros((0, 1 << SLOT_BITS))
+    below = [(lang, max(-(1 << 63), min((1 << 63) - 1, int(min(1.0, sample / n) * 2.0**64) - (1 << 63)))) for lang, n in sizes]
+    share = docs.sparkSession.createDataFrame(below, "lang string, below long")  # a row for each language
+    own = known.join(F.broadcast(share), "lang").where("h <= below").select("lang", "text").repartition("lang")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in small(batches):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                data, offs = flat(pa.array([text.as_py()], pa.large_string()))
+                total = found.setdefault(lang, np.zeros(1 << SLOT_BITS))
+                for a in range(0, len(data), SLICE_BYTES):
+                    part = data[a : a + SLICE_BYTES + 12]  # runs at the cut count on either side
+                    total += np.bincount(_runs(part, np.array([0, len(part)]))[0], minlength=1 << SLOT_BITS)
+        for lang, total in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    counts = {lang: np.full(1 << SLOT_BITS, 0.01) for lang, _ in sizes}
+    for r in own.mapInArrow(count, "lang string, counts binary").toLocalIterator():  # a row for each language
+        counts[r["lang"]] += np.frombuffer(r["counts"], float)
+    return [lang for lang, _ in sizes], np.array([np.log(counts[lang] / counts[lang].sum()) for lang, _ in sizes])
 
 
 def text_evidence(pages: DataFrame, weights: np.ndarray, text_runs: int = TEXT_RUNS) -> DataFrame:
@@ -101,7 +133,7 @@ def text_evidence(pages: DataFrame, weights: np.ndarray, text_runs: int = TEXT_R
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in small(batches):
-            data, offs = flat(batch.column("text"))
+            data, offs = flat(decoded(batch.column("text")))
             rows = []
             for i, j in slices(offs, SLICE_BYTES):
                 slot, doc = _runs(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
@@ -123,7 +155,7 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     host = host_of("url")
     own = pages.select("page_id", F.coalesce(visible_text("html"), F.lit("")).alias("text"), declared_language("html").alias("declared"), host.alias("host"))
     own = own.withColumn("suffix", F.when(F.col("host").rlike(r"\.[a-z]{2,}$"), F.substring_index("host", ".", -1)).otherwise(""))
-    own = own.withColumn("domain", F.substring_index("host", ".", -2))
+    own = own.withColumn("domain", domain_of("host"))
     if not langs:
         none = F.lit(None).cast("string")
         return own.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("probability"), none.alias("text_lang"), "declared", "suffix", "host")
@@ -132,15 +164,13 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     sums = F.aggregate("evidence", F.lit(0.0), lambda s, x: s + F.exp(x))
     seen = seen.select("page_id", "declared", "suffix", "host", "domain", "evidence", F.transform("evidence", lambda x: F.exp(x) / sums).alias("w"))
     seen = scratch.keep(seen, "seen")
-
-    def counted(*by: str) -> DataFrame:
-        return seen.groupBy(*by).agg(*[F.sum(F.col("w")[i]).alias(f"{by[0]}{i}") for i in k])
-
-    whole = seen.agg(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"all{i}") for i in k], F.count_distinct("declared").alias("declared_n"), F.count_distinct("suffix").alias("suffix_n")).first()
+    whole = seen.agg(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"all{i}") for i in k], F.count("*").alias("pages"), F.count_distinct("declared").alias("declared_n"), F.count_distinct("suffix").alias("suffix_n")).first()
     total = [whole[f"all{i}"] for i in k]
     page = seen
     for by in ("declared", "suffix", "domain", "host"):
-        page = page.join(counted(by), by)
+        counted = scratch.keep(seen.groupBy(by).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("w")[i]) for i in k]).alias("s")), by)
+        page = join_spread(page, counted, by, "s", f"{by}_s", whole["pages"])
+    page = page.select("*", *[F.col(f"{by}_s")[i].alias(f"{by}{i}") for by in ("declared", "suffix", "domain", "host") for i in k])
     logs = []
     for i in k:
         w = F.col("w")[i]

@@ -58,6 +58,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_spread(df: DataFrame, counted: DataFrame, key: str, value: str, name: str, total: int, share: int = 1000) -> DataFrame:
+    """df with `name`: counted's `value` for its key (not null). counted(key, n, value) has a row for each key of df's `total` rows, n of them its own.
+
+    Keys of more than a share of the rows, `share` keys at most, are joined by broadcast; their rows are spread over
+    all partitions in the join of the others, so that no task gets the rows of one key.
+    """
+    hot = F.col("n") * share > total
+    heavy = counted.where(hot).select(F.col(key).alias("_hot"), F.col(value).alias("_heavy"))
+    rest = counted.where(~hot).select(F.col(key).alias("_key"), F.col(value).alias("_light"))
+    out = df.join(F.broadcast(heavy), F.col(key) == F.col("_hot"), "left")
+    out = out.withColumn("_to", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if df.schema[c].dataType.typeName() in ("long", "integer", "string")]), F.lit(4096)).cast("string"))))
+    out = out.join(rest, F.col("_to") == F.col("_key"), "left")
+    return out.select(*df.columns, F.coalesce("_heavy", "_light").alias(name))
+
+
 def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b): node and component, the smallest node of its component.
 

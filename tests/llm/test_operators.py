@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,24 @@ def test_declared_language_after_a_long_preamble(spark):
     assert [r[0] for r in df.select(language.declared_language("html")).collect()] == ["de", "fr", "", ""]
 
 
+def test_language_of_entities_hot_hosts_and_many_codes(spark, monkeypatch):
+    texts = {"fr": "la soir&eacute;e d&#39;&eacute;t&eacute; &agrave; l&#x2019;&eacute;cole", "en": "the evening of the summer at school"}
+    plain = {"fr": "la soirée d'été à l’école", "en": texts["en"]}
+    d = spark.createDataFrame([(k, (plain[c] + " ") * 10, c) for k, c in enumerate(["en", "fr"] * 20)], "doc_id long, text string, lang string")
+    assert language.decoded(pa.array([texts["fr"], None, "a"], pa.string())).to_pylist() == [plain["fr"], None, "a"]
+    rows = [(k // 2, "https://www.shop.co.uk/a" if k % 3 else f"https://h{k}.example.fr", f"<p>{texts['fr' if k % 2 else 'en']}</p>", "x", "y") for k in range(60)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string, host string, w string").repartition(4)
+    got = language.identify(p, d).collect()
+    assert len(got) == 60 and sorted(r.lang for r in got) == ["en"] * 30 + ["fr"] * 30
+    long = spark.createDataFrame([(1, "https://a.b", "<p>" + (texts["fr"] + " ") * 40_000 + "</p>")], "page_id long, url string, html string")
+    assert language.identify(long, d).first().lang == "fr"
+    names = spark.createDataFrame([("a.shop.co.uk",), ("shop.co.uk",), ("x.example.fr",), ("localhost",), ("co.uk",)], "host string")
+    assert [r[0] for r in names.select(language.domain_of("host")).collect()] == ["shop.co.uk", "shop.co.uk", "example.fr", "localhost", "co.uk"]
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.identify(p, d)
+
+
 def test_contamination(spark, docs, texts, empty, monkeypatch):
     passage = texts[9][1].split("\n")[0].split()
     items = [(0, " ".join(passage[5:30])), (1, "one TWO, three. four"), (2, None), (3, "..."), (4, " ".join(passage[20:45])), (5, "a"), (6, "no such words anywhere at all"), (6, " ".join(passage[1:14]))]
