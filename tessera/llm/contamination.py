@@ -30,7 +30,7 @@ from .store import Scratch
 from .textops import LOWER, edges, flat, run_hashes, slices, word_table, small
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Test items are searched in blocks of about so many bytes of text; each is a pass, with a broadcast of about ten times its size at most.
 BLOCK_BYTES = 4 << 20
 KEPT_EVERY = 8

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+HASH_BYTES = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -100,11 +101,17 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of data[s:e] for each run: a polynomial from prefix sums, moved to position 0, then mixed with the length."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    pw, inv = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * pw[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U(0xA0761D6478BD642F))
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):  # runs of about HASH_BYTES at a time, so that powers and sums stay small
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + HASH_BYTES)))
+        lo, hi = int(starts[i]), int(ends[i:j].max())
+        pw, inv = powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE[data[lo:hi]] * pw[: hi - lo], out=sums[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64) * U(0xA0761D6478BD642F))
+        i = j
+    return out
 
 
 def combine(words: np.ndarray, k: int) -> np.ndarray:
