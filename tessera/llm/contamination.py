@@ -201,9 +201,11 @@ def blocks_of(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Windows]:
 _FLAG = np.array([False] + [True] * 255)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, finish=None, result: StructType | None = None) -> DataFrame:
     """docs(c0, c1, ..., text) with n_words, hits (starts and ends of the merged runs of hit words, in turn) and item_ids.
 
+    With `finish`, the last pass gives finish(batch) of each such batch, of the schema `result`, in the same worker.
+
     Each block of test items is one pass over the documents that adds to what the passes before have found, so one
     block at a time is in the driver and in a worker.
     """
@@ -211,7 +213,7 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("hits", ArrayType(LongType())), StructField("item_ids", ArrayType(StringType()))])
 
-    def passed(block, more: bool):
+    def passed(block, more: bool, done):
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = block.value
             for batch in small(batches):
@@ -231,7 +233,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                     d = np.searchsorted(at, a, "right") - 1
                     n = np.bincount(d, minlength=j - i)
                     flags = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(2 * n)]), pa.int32()), pa.array(np.stack([a - at[d], z - at[d]], 1).ravel(), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(at), pa.int64()), flags, pa.array([sorted(x) for x in own], pa.list_(pa.string()))], names=[*names, "n_words", "hits", "item_ids"])
+                    out = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(at), pa.int64()), flags, pa.array([sorted(x) for x in own], pa.list_(pa.string()))], names=[*names, "n_words", "hits", "item_ids"])
+                    yield done(out) if done else out
 
         return judge
 
@@ -239,8 +242,10 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     block = next(blocks)
     while block is not None:
         sent = spark.sparkContext.broadcast(block)  # about BLOCK_BYTES of text as numbers
-        out = out.mapInArrow(passed(sent, k > 0), schema)
-        block, k = next(blocks, None), k + 1
+        following = next(blocks, None)
+        last = finish if following is None else None
+        out = out.mapInArrow(passed(sent, k > 0, last), result if last else schema)
+        block, k = following, k + 1
         if block is not None:
             out = scratch.keep(out, f"pass{k}")
             sent.destroy()
@@ -293,22 +298,20 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     names = docs.columns
     at = names.index("text")
     plain = docs.toDF(*["text" if k == at else f"c{k}" for k in range(len(names))])
-    found = search(plain, benchmark, window)
     own = plain.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            texts, stay = batch.column("text").to_pylist(), np.ones(len(batch), bool)
-            for d, spans in enumerate(_byte_spans(batch.column("text"), batch.column("hits"))):
-                if spans:
-                    raw, left, last = texts[d].encode(), [], 0
-                    for a, z in spans:
-                        left.append(raw[last:a])
-                        last = z
-                    texts[d] = b"".join([*left, raw[last:]]).decode("utf-8", "replace")
-                    stay[d] = bool(texts[d].strip())
-            columns = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(stay))
-
-    out = found.mapInArrow(cut, plain.schema).toDF(*names)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, stay = batch.column("text").to_pylist(), np.ones(len(batch), bool)
+        for d, spans in enumerate(_byte_spans(batch.column("text"), batch.column("hits"))):
+            if spans:
+                raw, left, last = texts[d].encode(), [], 0
+                for a, z in spans:
+                    left.append(raw[last:a])
+                    last = z
+                texts[d] = b"".join([*left, raw[last:]]).decode("utf-8", "replace")
+                stay[d] = bool(texts[d].strip())
+        columns = [pa.array(texts, batch.schema.field(c).type) if c == "text" else batch.column(c) for c in own]
+        return pa.RecordBatch.from_arrays(columns, names=own).filter(pa.array(stay))
+
+    out = search(plain, benchmark, window, cut, plain.schema).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
