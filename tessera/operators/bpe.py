@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SPECIALS, byte_sequence, merged, pretokens, sequence_tokens, split_specials
+from tessera.sources.scratch import shared_dir
 
 
 def pretokenize(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -36,30 +38,65 @@ def best_pair(counts: DataFrame) -> DataFrame:
     return counts.where("c > 0").orderBy(F.desc("c"), F.desc("a"), F.desc("b")).limit(1)
 
 
+#: A round's first so many pairs come to the driver; words are written anew after so many merges.
+TOP_PAIRS, REWRITE = 256, 64
+
+
+def independent(pairs: list[tuple[str, str, int]], most: int) -> list[tuple[str, str, int]]:
+    """Of pairs (a, b, count), best first, those that are the next merges one by one whatever the merges before them make.
+
+    A merge leaves the counts of pairs without its tokens as they are, and what it makes counts no more than the pairs
+    that it takes from. So pairs go together until one has a token in common with them, with all counts above its.
+    """
+    taken: list[tuple[str, str, int]] = []
+    used: set[str] = set()
+    for a, b, c in pairs[:most]:
+        if a in used or b in used:
+            return taken[:1] + [t for t in taken[1:] if t[2] > c]
+        taken.append((a, b, c))
+        used |= {a, b, a + b}
+    if len(pairs) > most:
+        return taken
+    return taken if len(pairs) < TOP_PAIRS else taken[:1] + [t for t in taken[1:] if t[2] > pairs[-1][2]]
+
+
 def train(words: DataFrame, merges: int) -> list[tuple[str, str, int]]:
-    """Up to `merges` merges (a, b, count), in order. Words stay distributed; each round is one
-    aggregation with map-side sums, and only its best pair comes back."""
-    words = words.select("seq", "cnt").persist()
+    """Up to `merges` merges (a, b, count), in order. Words stay distributed; each round is one aggregation with
+    map-side sums that gives all merges that are certain to come next, and only its best pairs come back.
+
+    A round's words are the last written ones with at most REWRITE merges to be applied, so neither a plan nor its work grows.
+    """
+    at = f"{shared_dir(words.sparkSession)}/bpe-{uuid.uuid4().hex}"
+    spark, k = words.sparkSession, 0
+
+    def written(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{at}/{k}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{k}")
+
+    now, seq, nested = written(words.select("seq", "cnt").where("seq like '%><%'")), F.col("seq"), 0
     found: list[tuple[str, str, int]] = []
-    try:
-        seq = F.col("seq")
-        for _ in range(merges):
-            top = best_pair(pair_counts(words.select(seq.alias("seq"), "cnt"))).first()
-            if top is None:
-                break
-            found.append((top["a"], top["b"], top["c"]))
-            seq = merged(seq, top["a"], top["b"])
-    finally:
-        words.unpersist()
+    while len(found) < merges:
+        counts = pair_counts(now.select(seq.alias("seq"), "cnt")).where("c > 0")
+        pairs = [tuple(r) for r in counts.orderBy(F.desc("c"), F.desc("a"), F.desc("b")).limit(TOP_PAIRS).collect()]
+        new = independent(pairs, merges - len(found))
+        if not new:
+            break
+        found += new
+        seq = reduce(lambda c, m: merged(c, m[0], m[1]), new, seq)
+        nested += len(new)
+        if nested >= REWRITE:
+            k += 1
+            now = written(now.select(seq.alias("seq"), "cnt").where("seq like '%><%'"))
+            seq, nested = F.col("seq"), 0
     return found
 
 
 def segmented(words: DataFrame, merges: list[tuple]) -> DataFrame:
-    """words(word) with `tokens`, as hex. Replacing in rank order is greedy lowest-rank-first encoding when all
-    merged tokens differ; otherwise an Arrow UDF applies the rule itself."""
-    if len({a + b for a, b, *_ in merges}) == len(merges):
+    """words(word) with `tokens`, as hex. Few merges whose tokens all differ are replaced in rank order, which is
+    greedy lowest-rank-first encoding; otherwise an Arrow UDF applies the rule itself to each word."""
+    if len(merges) <= REWRITE and len({a + b for a, b, *_ in merges}) == len(merges):
         return words.withColumn("tokens", sequence_tokens(reduce(lambda c, m: merged(c, m[0], m[1]), merges, byte_sequence("word"))))
-    ranks = {(a, b): k for k, (a, b, *_) in reversed(list(enumerate(merges)))}
+    ranks = {(a, b): k for k, (a, b, *_) in reversed(list(enumerate(merges)))}  # as many as merges
 
     @F.pandas_udf("array<string>")
     def encode(word: pd.Series) -> pd.Series:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from tessera.functions.text import END, byte_sequence, merged, sequence_tokens
@@ -12,9 +10,19 @@ from tessera.plans.base import MERGES, query, spread, sql_bpe, sql_pretokens, sq
 from tessera.sources import files
 
 
-@cache
+#: Merges of the queries that SQL cannot follow any more.
+MANY = 200
+_last: tuple = ()
+
+
 def _merges(spark, d, n=MERGES):
-    return bpe.train(bpe.word_sequences(bpe.word_freqs(spread(table(spark, d, "documents")))), n)
+    """Trains; of the last table trained on, as long as its files are the same, the merges are kept."""
+    global _last
+    docs = table(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, d, n, docs.count(), docs.select(F.sum(F.xxhash64("doc_id", "text") % 1_000_003)).first()[0])
+    if not _last or _last[0] != key:
+        _last = key, bpe.train(bpe.word_sequences(bpe.word_freqs(spread(docs))), n)
+    return _last[1]
 
 
 def _vocab(spark, d):
@@ -49,6 +57,19 @@ def bpe_train_k(spark, d):
     return _merge_rows(spark, d)
 
 
+@query()
+def bpe_train_200(spark, d):
+    """Two hundred merges; tests compare training with plain Python."""
+    merges = bpe.train(bpe.word_sequences(bpe.word_freqs(spread(table(spark, d, "documents")))), MANY)
+    return spark.createDataFrame([(k, a, b, c) for k, (a, b, c) in enumerate(merges)], "rank int, a string, b string, c long")
+
+
+@query()
+def bpe_encode_200(spark, d):
+    """Each distinct word's tokens by two hundred merges."""
+    return bpe.segmented(bpe.word_freqs(spread(table(spark, d, "documents"))).select("word"), _merges(spark, d, MANY))
+
+
 @query(f"WITH RECURSIVE {sql_bpe()}, {sql_vocab()} SELECT id, tok FROM vocab")
 def load_vocab(spark, d):
     """The vocabulary written as JSON and read back."""

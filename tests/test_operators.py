@@ -211,3 +211,33 @@ def test_npy_rows(spark):
     np.save(f, np.array([3, 1], np.uint16))
     df = spark.createDataFrame([(1, bytearray(f.getvalue()))], "doc_id long, content binary")
     assert files.parse_npy(df).first().ids == [3, 1]
+
+
+def test_many_merges_match_plain_python(spark):
+    """Training in rounds of independent merges, and encoding, against one merge at a time."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    words = {r.word: r.cnt for r in bpe.word_freqs(docs).collect()}
+    got = bpe.train(bpe.word_sequences(spark.createDataFrame(list(words.items()), "word string, cnt long")), 80)
+    tokens = {w: [f"{x:02X}" for x in w.encode()] for w in words}
+    want = []
+    for _ in range(80):
+        pairs = Counter()
+        for w, t in tokens.items():
+            for p in zip(t, t[1:]):
+                pairs[p] += words[w]
+        if not pairs:
+            break
+        (a, b), c = max(pairs.items(), key=lambda x: (x[1], x[0]))
+        want.append((a, b, c))
+        for w, t in tokens.items():
+            out, k = [], 0
+            while k < len(t):
+                two = t[k : k + 2] == [a, b]
+                out.append(a + b if two else t[k])
+                k += 1 + two
+            tokens[w] = out
+    assert got == want
+    some = spark.createDataFrame([(w,) for w in list(words)[:500]], "word string")
+    assert {r.word: r.tokens for r in bpe.segmented(some, got).collect()} == {w: tokens[w] for w in list(words)[:500]}
