@@ -48,7 +48,7 @@ def split_specials(c: str | Column, specials=SPECIALS, keep: bool = False) -> Co
     """Pieces between specials (longest special first); with keep, the specials are pieces too."""
     quoted = "|".join("\\Q" + s + "\\E" for s in sorted(specials, key=lambda s: (-len(s), specials.index(s))))
     if keep:
-        return F.regexp_extract_all(_col(c), F.lit(f"(?s){quoted}|(?:(?!{quoted}).)+"), F.lit(0))
+        return F.regexp_extract_all(_col(c), F.lit(f"(?s){quoted}|.+?(?={quoted}|\\z)"), F.lit(0))
     return F.split(_col(c), quoted)
 
 
@@ -57,6 +57,12 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def epoch_seconds(c: str | Column) -> Column:
+    """Whole seconds from 1970 to a timestamp without a zone, whatever the session's zone."""
+    c = _col(c)
+    return F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
 def log_sigmoid(x: Column) -> Column:
     """log(1 / (1 + exp(-x))) without overflow."""
     return F.when(x >= 0, -F.log1p(F.exp(-x))).otherwise(x - F.log1p(F.exp(x)))

@@ -42,6 +42,12 @@ def best_pair(counts: DataFrame) -> DataFrame:
 TOP_PAIRS, REWRITE = 256, 64
 
 
+def words_with(words: DataFrame, pair: tuple[str, str]) -> DataFrame:
+    """The words whose sequences hold a pair: those that its merge rewrites."""
+    a, b = pair
+    return words.where(F.contains("seq", F.lit(f"<{a}><{b}>")))
+
+
 def independent(pairs: list[tuple[str, str, int]], most: int) -> list[tuple[str, str, int]]:
     """Of pairs (a, b, count), best first, those that are the next merges one by one whatever the merges before them make.
 

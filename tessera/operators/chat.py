@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import END, SPECIALS, strip
@@ -90,6 +90,25 @@ def last_ids(ids: Column, most: int, blank: int) -> Column:
     return F.slice(ids, F.greatest(F.lit(1), F.size(ids) - most + 1), F.lit(most))
 
 
+def strip_end(ids: Column, end: int) -> Column:
+    """Without one end id at the end."""
+    return F.when(F.get(ids, F.size(ids) - 1) == end, F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(ids)
+
+
+def rolled_context(turns: DataFrame, most: int) -> DataFrame:
+    """turns(conv_id, turn, ids) with the last `most` ids of all turns so far.
+
+    A window gathers only the last `most` turns that have ids, and the last `most` ids of each, so its size doesn't
+    depend on the conversation's.
+    """
+    so_far = Window.partitionBy("conv_id").orderBy("turn")
+    t = turns.withColumn("_n", F.count(F.when(F.size("ids") > 0, 1)).over(so_far))
+    tail = F.when(F.size("ids") > 0, F.struct("turn", F.slice("ids", F.greatest(F.lit(1), F.size("ids") - most + 1), F.lit(most)).alias("ids")))
+    near = F.collect_list(tail).over(Window.partitionBy("conv_id").orderBy("_n").rangeBetween(1 - most, 0))
+    ids = F.flatten(F.transform(F.sort_array(near), lambda s: s["ids"]))
+    return t.withColumn("ids", ids).withColumn("ids", F.slice("ids", F.greatest(F.lit(1), F.size("ids") - most + 1), F.lit(most))).drop("_n")
+
+
 def strip_artifacts(text: Column, prefix: Column) -> Column:
     rest = F.when(F.startswith(text, prefix), F.expr("1").cast("int")).otherwise(F.lit(0))
     rest = F.when(rest == 1, F.substring(text, F.length(prefix) + 1, F.length(text))).otherwise(text)

@@ -30,6 +30,15 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.coalesce(F.sum(value * mask), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(mask), F.lit(0.0)), F.lit(1.0))
 
 
+def bits_per_char(total: Column, n_ids: Column, n_chars: Column) -> Column:
+    """Summed losses as bits for each character; NaN below two ids, of which none is predicted."""
+    return F.when((n_ids < 2) | (n_chars < 1), F.lit(float("nan"))).otherwise(total / F.nullif(n_chars, F.lit(0)) / F.ln(F.lit(2.0)))
+
+
+def capped_perplexity(loss: Column) -> Column:
+    return F.exp(F.least(loss, F.lit(20.0)))
+
+
 def sequence_log_probs(nll: DataFrame) -> DataFrame:
     return nll.groupBy("seq").agg(F.sum(-F.col("nll") * F.col("mask")).alias("logp"))
 
@@ -47,4 +56,4 @@ def dpo(pairs: DataFrame, beta: float) -> DataFrame:
 def windowed_perplexity(nll: DataFrame, size: int) -> DataFrame:
     """The mean of the windows' means, its exponential (of 20 at most) and its bits."""
     means = nll.groupBy("seq", F.floor(F.col("pos") / size).alias("w")).agg(F.avg("nll").alias("m"))
-    return means.agg(F.avg("m").alias("loss")).select("loss", F.exp(F.least("loss", F.lit(20.0))).alias("perplexity"), (F.col("loss") / F.ln(F.lit(2.0))).alias("bits_per_token"))
+    return means.agg(F.avg("m").alias("loss")).select("loss", capped_perplexity(F.col("loss")).alias("perplexity"), (F.col("loss") / F.ln(F.lit(2.0))).alias("bits_per_token"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,19 @@ def train_val_split(df: DataFrame, key: str, val: float) -> DataFrame:
     return ranked(df, key).withColumn("split", F.when(F.col("rn") < int(n * (1 - val)), "train").otherwise("val"))
 
 
+def _mixed(key: str, seed: str) -> Column:
+    mixed = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
+    return F.conv(F.substring(mixed, 1, 15), 16, 10).cast("long")
+
+
 def shuffled(df: DataFrame, key: str, seed: str) -> DataFrame:
     """df with its place in a seeded order: by MD5 of key and seed."""
-    mixed = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
-    number = F.conv(F.substring(mixed, 1, 15), 16, 10).cast("long")
-    return ranked(df.withColumn("_mix", number), "_mix", "place", (key,)).drop("_mix")
+    return ranked(df.withColumn("_mix", _mixed(key, seed)), "_mix", "place", (key,)).drop("_mix")
+
+
+def seeded_head(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+    """The first n rows of the seeded order; each task keeps n rows, so nothing is ranked."""
+    return df.orderBy(_mixed(key, seed), key).limit(n)
 
 
 def epoch_batches(df: DataFrame, key: str, size: int, seeds: list[str]) -> DataFrame:

@@ -20,6 +20,10 @@ Completion B:
 Answer with a single letter, A or B. Do not explain."""
 
 
+#: Fixed value: what the judge is told to be.
+SYSTEM = "You are an expert evaluator of short stories for children. Read two completions to the same prompt and decide which is better."
+
+
 def keep_pair(a: Column, b: Column, least: int = 40, prefix: int = 20, differ: int = 30) -> Column:
     """Whether two completions are worth judging: long enough, not the same, without a long common start; of like
     lengths, the first and last 50 characters must both differ."""
@@ -38,6 +42,11 @@ def judge_prompt(prompt: Column, a: Column, b: Column) -> Column:
     return F.concat(F.lit(head), prompt, F.lit(middle), a, F.lit(between), b, F.lit(tail))
 
 
+def judge_messages(prompt: Column, a: Column, b: Column) -> Column:
+    """The judge's chat: an array of role and content."""
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), judge_prompt(prompt, a, b).alias("content")))
+
+
 def verdict(answer: Column) -> Column:
     """The first A or B of an answer, in any case; null if there is none."""
     return F.nullif(F.regexp_extract(F.upper(answer), "[AB]", 0), F.lit(""))

@@ -46,6 +46,13 @@ def best_pair(spark, d):
     return bpe.best_pair(pair_counts(spark, d))
 
 
+@query(f"WITH {sql_words()}, p AS ({_PAIRS}), best AS (SELECT * FROM p ORDER BY c DESC, a DESC, b DESC LIMIT 1) SELECT word, seq, cnt FROM words, best WHERE contains(seq, '<' || a || '><' || b || '>')")
+def words_of_best_pair(spark, d):
+    best = best_pair(spark, d).first()
+    words = bpe.word_sequences(bpe.word_freqs(spread(table(spark, d, "documents"))))
+    return bpe.words_with(words, (best["a"], best["b"])) if best else words.limit(0)
+
+
 @query(f"WITH {sql_words()} SELECT word, replace(replace(seq, '<65><6E>', '<656E>'), '<656E><74>', '<656E74>') AS seq FROM words")
 def bpe_apply_merge(spark, d):
     words = bpe.word_freqs(spread(table(spark, d, "documents")))

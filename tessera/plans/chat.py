@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import END, stop_place
 from tessera.operators import bpe, chat, ordering
 from tessera.plans.base import SPECIAL_ROWS, query, table
+from tessera.plans.metrics import ids_of
 from tessera.sources import files
 
 LENGTH, PACKED = 512, 128
@@ -113,6 +114,19 @@ def prompt_truncate(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", chat.last_ids(ids, 64, 32).alias("ids"))
 
 
+@query(f"SELECT conv_id, turn, list_concat({_BYTES.format('text')}, [256, 256][1:greatest(turn % 3 - 1, 0)]) AS ids FROM conversations")
+def strip_trailing_end(spark, d):
+    """Turns with no, one and two end ids after them; one is taken off."""
+    ids = F.concat(F.expr(ids_of("text")), F.expr("slice(array(256, 256), 1, cast(turn % 3 as int))"))
+    return table(spark, d, "conversations").select("conv_id", "turn", chat.strip_end(ids, 256).alias("ids"))
+
+
+@query(f"SELECT conv_id, turn, all_ids[greatest(1, len(all_ids) - 47):] AS ids FROM (SELECT conv_id, turn, flatten(list({_BYTES.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn)) AS all_ids FROM conversations)")
+def context_roll(spark, d):
+    """What a chat's model sees at each turn: the last 48 ids so far, with room for 16 in a context of 64."""
+    return chat.rolled_context(table(spark, d, "conversations").select("conv_id", "turn", F.expr(ids_of("text")).alias("ids")), 64 - 16)
+
+
 @query(f"SELECT conv_id, turn, {_STRIP.format('text')} AS answer FROM conversations")
 def strip_artifacts(spark, d):
     """Answers wrapped as a model returns them, and unwrapped."""

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,19 +20,9 @@ def scan_documents(spark, d):
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS n_ids, ord(text[1])::BIGINT AS first_char FROM documents")
 def scan_npy(spark, d):
-    """Ids of bytes written as .npy payloads and read back."""
-
-    def save(batches):
-        for batch in batches:
-            out = []
-            for x in batch.column("text").to_pylist():
-                f = io.BytesIO()
-                np.save(f, np.frombuffer((x or "").encode("utf-16-le"), np.uint16))
-                out.append(f.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_ids"), pa.array(out, pa.binary())], names=["doc_id", "n_ids", "content"])
-
-    docs = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), "text")
-    saved = docs.mapInArrow(save, "doc_id long, n_ids long, content binary")
+    """Ids of UTF-16 units written as .npy payloads and read back."""
+    units = "transform(filter(split(regexp_replace(hex(encode(text, 'UTF-16LE')), '(..)(..)', '$2$1,'), ','), x -> x <> ''), x -> cast(conv(x, 16, 10) as int))"
+    saved = files.npy_payloads(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), F.expr(units).alias("ids")))
     return files.parse_npy(saved, "content").select("doc_id", "n_ids", F.element_at("ids", 1).alias("first_char"))
 
 
@@ -72,10 +58,45 @@ def split_specials(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(texts.split_specials(F.concat_ws(END, "text", "lang"), (END,))).alias("n", "piece")).select("doc_id", F.col("n").cast("long").alias("n"), "piece")
 
 
-@query("SELECT doc_id, unnest([0, 1, 2]::BIGINT[]) AS n, unnest([text, '<|endoftext|>', lang]) AS piece FROM documents WHERE text <> ''")
+def _pieces(spark, d, marks, specials):
+    """Pieces and specials of text, lang and source with `marks` between them; empty pieces are none."""
+    parts = [F.coalesce(c, F.lit("")) for c in ("text", "lang", "source")]
+    whole = F.concat(parts[0], *[x for m, p in zip(marks, parts[1:], strict=True) for x in (F.lit(m), p)])
+    return table(spark, d, "documents").select("doc_id", F.posexplode(texts.split_specials(whole, specials, keep=True)).alias("n", "piece")).select("doc_id", F.col("n").cast("long").alias("n"), "piece")
+
+
+def _sql_pieces(first, second):
+    pieces = f"[coalesce(text, ''), {first}, coalesce(lang, ''), {second}, coalesce(source, '')]"
+    return f"SELECT doc_id, (i - 1)::BIGINT AS n, p[i] AS piece FROM (SELECT doc_id, list_filter({pieces}, lambda x: x <> '') AS p FROM documents), unnest(range(1, len(p) + 1)) u(i)"
+
+
+@query(_sql_pieces("'<|endoftext|>'", "'<|user|>', '<|endoftext|>'"))
 def encode_specials(spark, d):
-    t = table(spark, d, "documents").where("text <> ''")
-    return t.select("doc_id", F.posexplode(texts.split_specials(F.concat_ws(END, "text", "lang"), keep=True)).alias("n", "piece")).select("doc_id", F.col("n").cast("long").alias("n"), "piece")
+    return _pieces(spark, d, (END, "<|user|>" + END), texts.SPECIALS)
+
+
+@query(_sql_pieces("'<|end|>'", "'<|end|><|end|>', '<|end|>'"))
+def overlapping_specials(spark, d):
+    """A special that starts another one: the longer is taken first."""
+    return _pieces(spark, d, ("<|end|>", "<|end|>" * 3), ("<|end|>", "<|end|><|end|>"))
+
+
+@query("SELECT doc_id, (i - 1)::BIGINT AS chunk, c[i] AS text FROM (SELECT doc_id, regexp_extract_all(text, '(?s).{1,500}') AS c FROM documents), unnest(range(1, len(c) + 1)) u(i)")
+def chunked_text(spark, d):
+    return files.text_chunks(table(spark, d, "documents"), 500).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+@query("SELECT seq, list_transform(range(0, 16), lambda i: floor(('0x' || substr(md5('tokens|' || seq || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1000)::INT) AS ids FROM range(500) r(seq)")
+def synthetic_tokens(spark, d):
+    return files.synthetic_tokens(spark, 500, 16, 1000, "tokens")
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, floor(epoch(ts))::BIGINT - min(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id) AS elapsed FROM events")
+def event_clock(spark, d):
+    """Whole seconds since 1970 of each event, and since its user's first."""
+    t = table(spark, d, "events").select("event_id", "user_id", texts.epoch_seconds("ts").alias("seconds"))
+    first = t.groupBy(F.col("user_id").alias("who")).agg(F.min("seconds").alias("first"))
+    return t.join(first, F.col("user_id").eqNullSafe(F.col("who"))).select("event_id", "seconds", (F.col("seconds") - F.col("first")).alias("elapsed"))
 
 
 @query(f"SELECT doc_id, (i - 1)::BIGINT AS pos, w[i] AS word FROM (SELECT doc_id, {sql_pretokens('text')} AS w FROM documents), unnest(range(1, len(w) + 1)) u(i)")
@@ -113,6 +134,12 @@ def epoch_batches(spark, d):
     return ordering.epoch_batches(table(spark, d, "documents").select("doc_id"), "doc_id", 32, ["epoch-0", "epoch-1"])
 
 
+@query(f"SELECT doc_id FROM documents ORDER BY {_MIX.format('prompts')}, doc_id LIMIT 100")
+def seeded_head(spark, d):
+    """The first hundred documents of a seeded shuffle."""
+    return ordering.seeded_head(table(spark, d, "documents").select("doc_id"), "doc_id", "prompts", 100)
+
+
 def _byte_ids(docs):
     """doc_id and the ids of the text's bytes."""
     return docs.select("doc_id", F.expr("transform(filter(split(regexp_replace(hex(encode(text, 'UTF-8')), '(..)', '$1,'), ','), x -> x <> ''), x -> cast(conv(x, 16, 10) as int))").alias("ids"))

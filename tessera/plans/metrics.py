@@ -102,6 +102,20 @@ def bits_per_char(spark, d):
     return n.join(sequences(spark, d), "seq").select("seq", F.round(F.col("s") / F.length("text") / F.ln(F.lit(2.0)), 6).alias("bpc"))
 
 
+_SHORT = "SELECT conv_id * 100 + turn AS seq, turn, left(text, turn::INT) AS text, strlen(left(text, turn::INT)) AS n, greatest(strlen(left(text, turn::INT)) - 1, 0) * ln(256) AS total FROM conversations"
+
+
+@query(f"SELECT seq, n::BIGINT AS n_ids, round(CASE WHEN n < 2 THEN 'NaN'::DOUBLE ELSE total / length(text) / ln(2) END, 6) AS bpc, round(exp(least(turn * 9.0::DOUBLE, 20)), 5) AS perplexity, round(CASE WHEN turn % 2 = 0 THEN 0 ELSE turn * 9.0::DOUBLE END, 6) AS masked FROM ({_SHORT})")
+def metric_guards(spark, d):
+    """Losses of texts too short to have one, of nothing selected, and beyond the perplexity's cap; under a uniform model."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "turn", F.expr("left(text, cast(turn as int))").alias("text"))
+    t = t.withColumn("n_ids", F.octet_length("text").cast("long"))
+    total = F.greatest(F.col("n_ids") - 1, F.lit(0)) * F.ln(F.lit(256.0))
+    loss = F.col("turn") * F.lit(9.0)
+    out = t.groupBy("seq", "n_ids", "turn", "text").agg(metrics.masked_mean(F.lit(9.0) * F.col("turn"), (F.col("turn") % 2).cast("double")).alias("masked"))
+    return out.select("seq", "n_ids", F.round(metrics.bits_per_char(total, F.col("n_ids"), F.length("text")), 6).alias("bpc"), F.round(metrics.capped_perplexity(loss), 5).alias("perplexity"), F.round("masked", 6).alias("masked"))
+
+
 @query("SELECT i AS step, round(CASE WHEN x >= 0 THEN -ln(1 + exp(-x)) ELSE x - ln(1 + exp(x)) END, 9) AS y FROM (SELECT i, (i - 200) / 5.0::DOUBLE AS x FROM range(401) r(i))")
 def log_sigmoid_values(spark, d):
     return spark.range(401).select(F.col("id").alias("step"), F.round(log_sigmoid((F.col("id") - 200) / F.lit(5.0)), 9).alias("y"))

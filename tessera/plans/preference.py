@@ -69,6 +69,12 @@ def judge_prompt(spark, d):
     return m.select("prompt_id", "x", "y", pref.judge_prompt(F.concat(F.lit("p"), "prompt_id"), F.col("x_text"), F.col("y_text")).alias("prompt"))
 
 
+@query(f"WITH {_PAIRS} SELECT prompt_id, x, y, 'system' AS role, '{pref.SYSTEM}' AS content FROM p UNION ALL SELECT prompt_id, x, y, 'user', replace(replace(replace('{pref.RUBRIC}', '{{prompt}}', 'p' || prompt_id), '{{a}}', x_text), '{{b}}', y_text) FROM p")
+def judge_messages(spark, d):
+    m = pref.matchups(_completions(spark, d))
+    return m.select("prompt_id", "x", "y", F.inline(pref.judge_messages(F.concat(F.lit("p"), "prompt_id"), F.col("x_text"), F.col("y_text"))))
+
+
 @query("SELECT conv_id, turn, nullif(regexp_extract(upper(text), '[AB]'), '') AS verdict FROM conversations")
 def judge_parse(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", pref.verdict(F.col("text")).alias("verdict"))

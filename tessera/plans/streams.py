@@ -41,8 +41,21 @@ def transformer_forward(spark, d):
     return nll.select("seq", F.round("nll", 6).alias("nll"))
 
 
+def _prompts(spark, d):
+    return table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
+
+
 @query()
 def generate(spark, d):
     """Sixteen ids after each user turn, by the likeliest each time."""
-    t = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
-    return transformer.generate(t, transformer.Transformer(), 16, 64)
+    return transformer.generate(_prompts(spark, d), transformer.Transformer(), 16, 64)
+
+
+#: Settings of the sampled stream.
+SAMPLER = transformer.Sampler(temperature=0.8, k=40, share=0.02, mass=0.9, penalty=1.2, seed="stream")
+
+
+@query()
+def generate_stream(spark, d):
+    """Up to sixteen sampled ids after each user turn, a row for each; a line feed ends a stream."""
+    return transformer.generate_stream(_prompts(spark, d), transformer.Transformer(), 16, 64, 10, SAMPLER)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import uniform
+
 
 def read_text_documents(spark: SparkSession, path: str, separator: str) -> DataFrame:
     """A file of documents between separators, as rows of text."""
@@ -48,6 +50,44 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return parse_npy(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
+def npy_payloads(df: DataFrame, column: str = "ids", name: str = "content") -> DataFrame:
+    """df with `name`, a .npy payload of 16-bit numbers, in place of the whole numbers of `column`.
+
+    A number outside 0 to 65,535 is an error; null and empty lists are payloads without numbers.
+    """
+    names = [c for c in df.columns if c != column]
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids in batch.column(column):
+                numbers = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int64)
+                if len(numbers) and not 0 <= numbers.min() <= numbers.max() < 1 << 16:
+                    raise ValueError("an id does not fit 16 bits")
+                f = io.BytesIO()
+                np.save(f, numbers.astype(np.uint16))
+                out.append(f.getvalue())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary())], names=[*names, name])
+
+    return df.mapInArrow(save, T.StructType([*[df.schema[c] for c in names], T.StructField(name, T.BinaryType())]))
+
+
+def write_npy(df: DataFrame, path: str) -> None:
+    """Rows with `ids` as Parquet rows of .npy payloads; `parse_npy` reads them."""
+    npy_payloads(df).write.mode("errorifexists").parquet(path)
+
+
+def text_chunks(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, chunk, text: texts in runs of `size` characters, whose edges may fall within words; null and empty texts have none."""
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("chunk", "text"))
+
+
+def synthetic_tokens(spark: SparkSession, rows: int, length: int, vocab: int, seed: str) -> DataFrame:
+    """seq and `length` ids below `vocab` each, from the hash of seed, row and place."""
+    place = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.floor(uniform(F.concat_ws("|", F.lit(seed), F.col("seq").cast("string"), i.cast("string"))) * vocab).cast("int"))
+    return spark.range(rows).select(F.col("id").alias("seq")).withColumn("ids", place)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line; null text is one empty line."""
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -88,6 +128,10 @@ def append_csv_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
+def read_csv_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_packed(df: DataFrame, path: str) -> None:
     """Packed examples, partitioned by split."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
@@ -96,3 +140,7 @@ def write_packed(df: DataFrame, path: str) -> None:
 def write_checkpoint(params: DataFrame, path: str, step: int) -> None:
     """params(name, shape, values) as an immutable generation of its own."""
     params.write.mode("errorifexists").parquet(f"{path}/step_{step:06d}")
+
+
+def read_checkpoint(spark: SparkSession, path: str, step: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/step_{step:06d}")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
 from tessera.operators import bpe, chat, metrics, ordering, preference, sampling, tensor
-from tessera.operators.transformer import Transformer
+from tessera.operators.transformer import Sampler, Transformer
+from tessera.plans import streams
 from tessera.sources import files
 from tessera.streaming import decoder
 
@@ -241,3 +242,103 @@ def test_many_merges_match_plain_python(spark):
     assert got == want
     some = spark.createDataFrame([(w,) for w in list(words)[:500]], "word string")
     assert {r.word: r.tokens for r in bpe.segmented(some, got).collect()} == {w: tokens[w] for w in list(words)[:500]}
+
+
+def _plain_logits(m, ids):
+    """The last place's logits by loops over places, heads and layers, without a cache."""
+    unit = lambda v: v / math.sqrt(sum(x * x for x in v) / len(v) + 1e-5)
+    xs = [m.embed[i] for i in ids]
+
+    def turned(v, at):
+        out = []
+        for j in range(m.dk // 2):
+            a = at / 10000 ** (2 * j / m.dk)
+            out += [v[2 * j] * math.cos(a) - v[2 * j + 1] * math.sin(a), v[2 * j] * math.sin(a) + v[2 * j + 1] * math.cos(a)]
+        return np.array(out)
+
+    for b in m.blocks:
+        hs = [unit(x) for x in xs]
+        new = []
+        for i, h in enumerate(hs):
+            heads = []
+            for n in range(m.heads):
+                g = n // (m.heads // m.kv_heads)
+                q = turned((b["q"] @ h)[n * m.dk : (n + 1) * m.dk], i)
+                keys = [turned((b["k"] @ hs[j])[g * m.dk : (g + 1) * m.dk], j) for j in range(i + 1)]
+                e = [math.exp(q @ k / math.sqrt(m.dk)) for k in keys]
+                heads.append(sum(w / sum(e) * (b["v"] @ hs[j])[g * m.dk : (g + 1) * m.dk] for j, w in enumerate(e)))
+            x = xs[i] + b["o"] @ np.concatenate(heads)
+            gate = b["w1"] @ unit(x)
+            new.append(x + b["w2"] @ (gate / (1 + np.exp(-gate)) * (b["w3"] @ unit(x))))
+        xs = new
+    return np.array([m.embed @ unit(x) for x in xs])
+
+
+def _plain_stream(m, ids, new, context, end, choose):
+    ids, out = list(ids) or [32], []
+    for step in range(new):
+        ids = ids[-context:]
+        out.append(choose(_plain_logits(m, ids)[-1], ids, step))
+        if out[-1] == end:
+            break
+        ids.append(out[-1])
+    return out
+
+
+def test_generation_queries_match_plain_loops(spark, tmp_path):
+    said = ["hi there", "", "once upon a time, a cat. " * 3, "ü"]
+    rows = [(k, 0, "user", s) for k, s in enumerate(said)] + [(9, 0, "assistant", "no prompt")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    m = Transformer()
+    greedy = {r.seq: r.ids for r in streams.generate(spark, str(tmp_path)).collect()}
+    assert greedy == {k * 100: _plain_stream(m, s.encode(), 16, 64, None, lambda z, seen, step: int(np.argmax(z))) for k, s in enumerate(said)}
+    sampled = {}
+    for r in streams.generate_stream(spark, str(tmp_path)).orderBy("seq", "step").collect():
+        sampled.setdefault(r.seq, []).append(r.id)
+    assert sampled == {k * 100: _plain_stream(m, s.encode(), 16, 64, 10, streams.SAMPLER.of(k * 100)) for k, s in enumerate(said)}
+    got = {r.seq: r.nll for r in streams.transformer_forward(spark, str(tmp_path)).collect()}
+    for k, s in enumerate([*said, *[""] * 5, "no prompt"]):
+        ids = s.encode()
+        for w in range(0, len(ids), 64):
+            part = list(ids[w : w + 64])
+            z = _plain_logits(m, part)[:-1]
+            due = np.mean([math.log(sum(map(math.exp, v))) - v[t] for v, t in zip(z, part[1:], strict=True)]) if len(part) > 1 else None
+            assert got.pop(k * 1_000_000 + w // 64) == (None if due is None else pytest.approx(due, abs=1e-5))
+    assert not got
+
+
+def test_sampler_of_a_vector_is_the_chain_of_tables(spark):
+    z = [1.5, -0.5, 2.0, 2.0, 0.1, -3.0, 1.2]
+    logits = spark.createDataFrame([(0, k, v) for k, v in enumerate(z)], "ctx int, tok int, logit double")
+    seen = spark.createDataFrame([(0, 2), (0, 5), (0, 2)], "ctx int, tok int")
+    rows = sampling.sampler(sampling.repetition_penalty(logits, seen, 1.3), 0.7, 5, 0.05, 0.8).collect()
+    due = np.zeros(len(z))
+    for r in rows:
+        due[r.tok] = r.p
+    assert np.allclose(Sampler(0.7, 5, 0.05, 0.8, 1.3).distribution(np.array(z), [2, 5, 2]), due)
+
+
+def test_long_texts_split_at_specials(spark):
+    text = "x\n" * 200_000
+    df = spark.createDataFrame([(text + "<|user|>" + text,), ("",), (None,)], "text string")
+    got = [r[0] for r in df.select(texts.split_specials("text", keep=True)).collect()]
+    assert got == [[text, "<|user|>", text], [], None]
+
+
+def test_chunks_ends_and_numbers(spark):
+    df = spark.createDataFrame([(0, "aé𝄞\nb"), (1, ""), (2, None)], "doc_id long, text string")
+    assert [tuple(r) for r in files.text_chunks(df, 2).orderBy("chunk").collect()] == [(0, 0, "aé"), (0, 1, "𝄞\n"), (0, 2, "b")]
+    ids = spark.createDataFrame([([],), ([7],), ([7, 7],), ([1],), (None,)], "ids array<int>")
+    assert [r[0] for r in ids.select(chat.strip_end(F.col("ids"), 7)).collect()] == [[], [], [7], [1], None]
+    assert files.parse_npy(files.npy_payloads(ids)).where("size(ids) = 2").count() == 1
+    for bad in (65_536, -1):
+        with pytest.raises(Exception, match="16 bits"):
+            files.npy_payloads(spark.createDataFrame([([bad],)], "ids array<int>")).collect()
+
+
+def test_rolled_context_of_many_turns(spark):
+    rnd = random.Random(3)
+    turns = [(c, t, [rnd.randrange(9) for _ in range(rnd.choice((0, 0, 1, 3, 12)))]) for c in range(3) for t in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, ids array<int>")
+    for r in chat.rolled_context(df, 8).collect():
+        assert r.ids == [x for c, t, ids in turns if c == r.conv_id and t <= r.turn for x in ids][-8:]
