@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import pretokens
 from tessera.operators import transformer
-from tessera.plans.base import query, sql_pretokens, table
+from tessera.plans.base import query, spread, sql_pretokens, table
 from tessera.plans.metrics import ids_of
 from tessera.sources.scratch import shared_dir
 from tessera.streaming import decoder
@@ -42,7 +42,7 @@ def transformer_forward(spark, d):
 
 
 def _prompts(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
+    return spread(table(spark, d, "conversations").where("role = 'user'")).select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
 
 
 @query()
