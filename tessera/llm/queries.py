@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, language, lines, packing, pii, repeats, similarity, token_files, toxicity
+from . import contamination, divergence, fingerprints, language, licenses, lines, packing, pii, repeats, resampling, similarity, token_files, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -63,5 +63,18 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op2_prefix_free_parsing, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op6_language_fusion, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines)}
-ORACLES: dict[str, str] = {}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), findings=False)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_iblt_fingerprints, op2_prefix_free_parsing, op3_token_files, op4_nb_linear_toxicity, op5_best_fit_packing, op6_language_fusion, op7_fm_index_decontamination, op8_feistel_pseudonyms, op9_token_group_join, op10_fuzzy_lines, op11_license_scan, op12_source_divergence, op13_importance_resampling)}
+ORACLES: dict[str, str] = {"op12_source_divergence": divergence.SQL, "op13_importance_resampling": resampling.SQL}
