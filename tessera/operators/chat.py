@@ -18,12 +18,11 @@ def turn_text(role: str = "role", text: str = "text") -> Column:
 def format_examples(turns: DataFrame, merges: list, vocab: DataFrame, max_length: int) -> DataFrame:
     """turns(conv_id, turn, role, text) to conv_id, ids, mask: 1 on what an assistant turn says and on its end mark."""
     docs = turns.select(F.struct("conv_id", "turn", "role").alias("doc_id"), turn_text().alias("text"))
-    e = bpe.encode(docs, merges, vocab, specials=SPECIALS)
-    said = (F.col("doc_id.role") == "assistant") & (F.col("piece") > 0)
-    e = e.select(F.col("doc_id.conv_id").alias("conv_id"), F.struct("doc_id.turn", "piece", "nth", "ids", said.cast("int").alias("on")).alias("s"))
+    e = bpe.encoded_arrays(docs, merges, vocab, specials=SPECIALS)
+    said = F.col("doc_id.role") == "assistant"  # a turn's first id is its role's mark
+    e = e.select(F.col("doc_id.conv_id").alias("conv_id"), F.struct("doc_id.turn", "ids", F.transform("ids", lambda _, k: (said & (k > 0)).cast("int")).alias("mask")).alias("s"))
     e = e.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    ids = F.flatten(F.transform("s", lambda s: s["ids"]))
-    mask = F.flatten(F.transform("s", lambda s: F.transform(s["ids"], lambda _: s["on"])))
+    ids, mask = F.flatten(F.transform("s", lambda s: s["ids"])), F.flatten(F.transform("s", lambda s: s["mask"]))
     return e.select("conv_id", F.slice(ids, 1, max_length).alias("ids"), F.slice(mask, 1, max_length).alias("mask"))
 
 

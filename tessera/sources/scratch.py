@@ -16,3 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
         at = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later step reads, in whatever store it is."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
