@@ -1,31 +1,60 @@
-"""Ranks over a whole table without sending it to one task."""
+"""Ranks and running totals over a whole table without sending it, or all rows of one key, to one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.sources.scratch import shared_dir
 
-def ranked(df: DataFrame, key: str, name: str = "rn", ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with the place (from 0) of each row in the order of a numeric key, then `ties`.
 
-    Quantiles of the key bound the ranges, so a range's rows are ranked in one task, and the ranges'
-    counts, a row for each, give the first rank of each.
+def running_totals(df: DataFrame, keys: list[str | Column], sizes: dict[str, Column]) -> DataFrame:
+    """df with a column for each size: its sum over all rows before, in the order of the keys.
+
+    Two levels: rows are dealt into sorted ranges, each of which adds up on its own and is written; the ranges' totals, a row for
+    each, give what is in front of each range. Rows with equal keys are told apart by their place in the input, which is part of
+    the ranges' bounds, so a key with all rows is cut into ranges as well. Among themselves such rows stand in that order. A null
+    size counts as 0, null keys come first.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 1000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    own = df.withColumn("_range", F.coalesce(at, F.lit(0)))
-    before, total = {}, 0
-    for r in own.groupBy("_range").count().orderBy("_range").collect():
-        before[r["_range"]] = total
-        total += r["count"]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
-    w = Window.partitionBy("_range").orderBy(key, *ties)
-    return own.withColumn(name, (start + F.row_number().over(w) - 1).cast("long")).drop("_range")
+    spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.withColumn("_place", F.monotonically_increasing_id()).withColumns({f"_size{k}": F.coalesce(x.cast("long"), F.lit(0)) for k, x in enumerate(sizes.values())})
+    own = own.repartitionByRange(n, *keys, "_place").sortWithinPartitions(*keys, "_place").drop("_place")
+    names, added = df.columns, list(sizes)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, so_far = TaskContext.get().partitionId(), [0] * len(added)
+        for batch in batches:
+            columns = [batch.column(c) for c in names]
+            for k in range(len(added)):
+                size = batch.column(f"_size{k}").to_numpy(zero_copy_only=False)
+                columns += [pa.array(so_far[k] + np.cumsum(size) - size), batch.column(f"_size{k}")]
+                so_far[k] += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(batch), number, np.int64))], names=schema.names)
+
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.LongType()) for k, c in enumerate(added) for x in (c, f"_size{k}")), T.StructField("_part", T.LongType())])
+    at = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
+    own.mapInArrow(add_up, schema).write.parquet(at)
+    rows = spark.read.schema(schema).parquet(at)
+    before, so_far = [], [0] * len(added)
+    for r in rows.groupBy("_part").agg(*[F.sum(f"_size{k}").alias(c) for k, c in enumerate(added)]).orderBy("_part").collect():  # a row for each range
+        before.append((r["_part"], *so_far))
+        so_far = [x + r[c] for x, c in zip(so_far, added, strict=True)]
+    front = spark.createDataFrame(before, T.StructType([T.StructField("_part", T.LongType()), *(T.StructField(f"_front{k}", T.LongType()) for k in range(len(added)))]))
+    rows = rows.join(F.broadcast(front), "_part")
+    return rows.select(*names, *[(F.col(c) + F.col(f"_front{k}")).alias(c) for k, c in enumerate(added)])
+
+
+def ranked(df: DataFrame, key: str, name: str = "rn", ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with the place (from 0) of each row in the order of a key, then `ties`, then of the input."""
+    return running_totals(df, [key, *ties], {name: F.lit(1)})
 
 
 def held_out_tail(df: DataFrame, key: str, share: float = 0.95) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
 from tessera.functions.text import END, universal_newlines
-from tessera.operators import bpe, ordering
+from tessera.operators import bpe, ordering, token_stream
 from tessera.plans.base import query, spread, sql_pretokens, sql_words, table
 from tessera.sources import files
+from tessera.sources.scratch import shared_dir
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS text_md5, length(regexp_replace(text, '\\r\\n?', chr(10), 'g'))::BIGINT AS n_chars FROM documents")
@@ -179,3 +182,69 @@ def next_token_shift(spark, d):
     """Each turn's length as an id, with the next turn's as its target."""
     t = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.length("text").cast("long").alias("id"))
     return t.withColumn("target", F.lead("id").over(Window.partitionBy("doc_id").orderBy("turn")))
+
+
+_STREAM = f"stream AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, id FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM ({_IDS})))"
+
+
+def _stream(spark, d):
+    """The byte ids of all documents, one after the other."""
+    return token_stream.stream(_byte_ids(table(spark, d, "documents")), "doc_id")
+
+
+def _sums(found, *names):
+    """Sums of a window's ids, plain and by place, which tell their order as well."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = lambda c: total(F.transform(c, lambda x, k: (k + 1).cast("long") * x))
+    return found.select(*names, F.size("inputs").cast("long").alias("n_ids"), total("inputs").alias("input_sum"), placed("inputs").alias("input_placed"), total("targets").alias("target_sum"), placed("targets").alias("target_placed"))
+
+
+_PLACED = "count(*) FILTER (k < n)::BIGINT AS n_ids, sum(id) FILTER (k < n)::BIGINT AS input_sum, sum((k + 1) * id) FILTER (k < n)::BIGINT AS input_placed, sum(id) FILTER (k > 0)::BIGINT AS target_sum, sum(k * id) FILTER (k > 0)::BIGINT AS target_placed"
+
+
+@query(f"""WITH {_STREAM}, draws AS (SELECT draw, floor((('0x' || substr(md5('batch-' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * ((SELECT count(*) FROM stream) - 256))::BIGINT AS start FROM range(512) r(draw)),
+places AS (SELECT draw, start, k, 256 AS n, start + k AS pos FROM draws, unnest(range(257)) u(k))
+SELECT draw, start, {_PLACED} FROM places JOIN stream USING (pos) GROUP BY draw, start""")
+def stream_batch(spark, d):
+    """A batch of 512 windows of 256 ids, at starts drawn from the whole stream, with their targets; windows go across documents."""
+    return _sums(token_stream.get_batch(_stream(spark, d), 512, 256, "batch"), "draw", "start")
+
+
+@query(f"""WITH {_STREAM}, last AS (SELECT max(pos) AS last FROM stream), places AS (SELECT pos // 256 AS window_no, pos % 256 AS k, least(256, last - pos // 256 * 256) AS n, id FROM stream, last
+  UNION ALL SELECT pos // 256 - 1, 256, 256, id FROM stream WHERE pos % 256 = 0 AND pos > 0)
+SELECT window_no, window_no * 256 AS start, {_PLACED} FROM places GROUP BY window_no HAVING count(*) > 1""")
+def stream_windows(spark, d):
+    """The whole stream in windows of 256 ids with their targets."""
+    return _sums(token_stream.context_windows(_stream(spark, d), 256), "window_no", "start")
+
+
+@query("""WITH l AS (SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i))
+SELECT doc_id, line_no, md5(line) AS line_md5, block FROM (SELECT *, line = '' OR length(line) % 7 = 3 AS sep, sum((line = '' OR length(line) % 7 = 3)::BIGINT) OVER (ORDER BY doc_id, line_no)::BIGINT AS block FROM l) WHERE NOT sep""")
+def corpus_blocks(spark, d):
+    """Blocks of lines between separators (empty lines and some lengths stand for them) over the whole table: a block goes on from one document to the next."""
+    rows = files.corpus_blocks(files.lines(table(spark, d, "documents")), (F.col("line") == "") | (F.length("line") % 7 == 3))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(F.col("line").cast("binary")).alias("line_md5"), "block")
+
+
+def _one_corpus(spark, d):
+    """Documents as text files with the end mark behind each, in order."""
+    at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs.select(F.coalesce("text", F.lit("")).alias("value")).write.option("lineSep", END).text(at)
+    return files.read_split_documents(spark, at, END)
+
+
+@query("SELECT md5(coalesce(text, '')) AS text_md5, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, (sum(octet_length(encode(coalesce(text, ''))) + 13) OVER (ORDER BY doc_id) - octet_length(encode(coalesce(text, ''))) - 13)::BIGINT AS at FROM documents")
+def scan_split_files(spark, d):
+    """Documents of files that many tasks share by byte ranges, each with its first byte in the whole corpus."""
+    docs = _one_corpus(spark, d)
+    found = ordering.running_totals(docs, ["file", "block", "nth"], {"at": F.octet_length("text") + len(END)})
+    return found.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"), "at")
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, (sum(octet_length(encode(coalesce(text, ''))) + 13) OVER (ORDER BY doc_id))::BIGINT AS e FROM documents),
+cuts AS (SELECT 0 AS k, 0 AS p UNION ALL SELECT k, e - 13 FROM e UNION ALL SELECT max(k) + 1, max(e) FROM e), n AS (SELECT count(*) AS n, greatest(1, (count(*) - 1) // 8) AS step FROM cuts)
+SELECT CASE WHEN k = n - 1 THEN 8 ELSE k // step END::BIGINT AS chunk, p::BIGINT AS at FROM cuts, n WHERE k = n - 1 OR (k % step = 0 AND k < 8 * step)""")
+def corpus_chunks(spark, d):
+    """Eight chunks of a corpus, cut at end marks."""
+    return files.chunk_starts(_one_corpus(spark, d), END, 8)

@@ -10,7 +10,7 @@ from tessera.operators import chat, ordering
 from tessera.plans.base import query, table
 from tessera.plans.chat import PACKED, _PAD, _SFT, _examples
 from tessera.plans.metrics import ids_of
-from tessera.sources import files
+from tessera.sources import files, npy
 from tessera.sources.scratch import shared_dir
 
 
@@ -26,6 +26,22 @@ def npy_sink(spark, d):
     return files.parse_npy(spark.read.parquet(at)).select("doc_id", "ids")
 
 
+_SHARD_IDS = "SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, id FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS ids FROM documents))"
+
+
+@query(f"SELECT pos // 4096 AS slice, count(*)::BIGINT AS n_ids, sum(id)::BIGINT AS id_sum, sum((pos + 1) * id)::BIGINT AS placed FROM ({_SHARD_IDS}) GROUP BY 1")
+def npy_shards(spark, d):
+    """The stream of all documents' byte ids in .npy files of 100,000 ids at most, read back by byte ranges."""
+    npy.register(spark)
+    at = _place(spark, "npy-shards")
+    ids = table(spark, d, "documents").select("doc_id", F.expr(ids_of("text")).alias("ids")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids.select("ids").write.format("npy").mode("append").option("shardIds", 100_000).save(at)
+    rows = spark.read.format("npy").option("rowIds", 4096).option("sliceIds", 65_536).load(at)
+    placed = F.aggregate(F.transform("ids", lambda x, k: (F.col("start") + k + 1) * x), F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = rows.select(F.floor(F.col("start") / 4096).alias("slice"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), placed.alias("p"))
+    return rows.groupBy("slice").agg(F.sum("n").alias("n_ids"), F.sum("s").alias("id_sum"), F.sum("p").alias("placed"))  # a slice may go across shards
+
+
 @query(f"WITH {_SFT}, packed AS (WITH {_PAD}) SELECT conv_id, CASE WHEN row_number() OVER (ORDER BY conv_id) - 1 < floor(count(*) OVER () * (1 - 0.1::DOUBLE)) THEN 'train' ELSE 'val' END AS split, input_ids, list_sum(loss_mask) AS n_response FROM packed")
 def packed_sink(spark, d):
     """Padded examples in a folder for each split."""

@@ -139,7 +139,7 @@ def adamw_step(spark, d):
     return s.select("vec_id", "i", "t", *[F.round(c, 9).alias(c) for c in ("theta", "m", "v")])
 
 
-@query(f"WITH {_PARAMS.replace('p AS (', 'p AS MATERIALIZED (', 1)}, n AS MATERIALIZED (SELECT sqrt(sum(grad * grad)) AS norm FROM p) SELECT vec_id, i - 1 AS i, round(norm, 6) AS norm, round(CASE WHEN norm > 1 THEN grad * (1 / (norm + 1e-6::DOUBLE)) ELSE grad END, 9) AS grad FROM p, n")
+@query("WITH p AS MATERIALIZED (SELECT vec_id, unnest(list_reverse(x)) AS grad, unnest(range(len(x))) AS i FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)), n AS MATERIALIZED (SELECT sqrt(sum(grad * grad)) AS norm FROM p) SELECT vec_id, i, round(norm, 6) AS norm, round(CASE WHEN norm > 1 THEN grad * (1 / (norm + 1e-6::DOUBLE)) ELSE grad END, 9) AS grad FROM p, n")
 def clip_grad_norm(spark, d):
     p = _vectors(spark, d).select("vec_id", F.posexplode(F.reverse("x")).alias("i", "grad"))
     return tensor.clip_norm(p, 1.0).select("vec_id", F.col("i").cast("long").alias("i"), F.round("norm", 6).alias("norm"), F.round("grad", 9).alias("grad"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import uniform
+from tessera.operators import ordering
 
 
 def read_text_documents(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -19,6 +20,32 @@ def read_text_documents(spark: SparkSession, path: str, separator: str) -> DataF
     return spark.read.option("lineSep", separator).text(path).select(F.col("value").alias("text"))
 
 
+def read_split_documents(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """Documents of a file, or of a folder of files, with their place: file, block, nth, text.
+
+    Spark cuts a file into byte ranges; a range's task moves on to its first separator and reads on to the one behind its end, so
+    one huge file is many partitions and each document comes once. file, block and nth are in the order of the files' bytes.
+    """
+    rows = spark.read.option("lineSep", separator).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+
+
+def chunk_starts(documents: DataFrame, separator: str, chunks: int) -> DataFrame:
+    """chunk, at: bytes at which a corpus of read_split_documents() may be cut into about so many chunks, each but the first at a separator.
+
+    As many of all cuts (0, the separators, the end) as there are, if that is at most chunks + 1; else every so many-th one and the end.
+    """
+    size = F.octet_length("text") + len(separator.encode())
+    own = ordering.running_totals(documents.select("file", "block", "nth", size.alias("size")), ["file", "block", "nth"], {"at": F.col("size"), "k": F.lit(1)})
+    cuts = own.select((F.col("k") + 1).alias("k"), (F.col("at") + F.col("size") - len(separator.encode())).alias("at"))  # the separator behind each document
+    n, end = own.agg(F.count("*"), F.coalesce(F.max(F.col("at") + F.col("size")), F.lit(0))).first()
+    step = 1 if n + 2 <= chunks + 1 else max(1, (n + 1) // chunks)
+    most = n + 1 if n + 2 <= chunks + 1 else chunks
+    ends = documents.sparkSession.createDataFrame([(0, 0), (n + 1, end)], "k long, at long")
+    cuts = cuts.unionByName(ends).where((F.col("k") % step == 0) & (F.col("k") < most * step) | (F.col("k") == n + 1))
+    return cuts.select(F.when(F.col("k") == n + 1, most).otherwise(F.floor(F.col("k") / step)).cast("long").alias("chunk"), "at")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return json_rows(spark.read.text(path), "value", schema)
 
@@ -100,6 +127,15 @@ def line_blocks(rows: DataFrame, separator: Column) -> DataFrame:
     return rows.where(~F.col("_sep")).drop("_sep")
 
 
+def corpus_blocks(rows: DataFrame, separator: Column) -> DataFrame:
+    """rows(doc_id, line_no, line): lines that are no separators, with the number of separators before them in the whole table.
+
+    A block goes on from one document to the next. Separators are added up by ranges, so no window holds the table.
+    """
+    rows = ordering.running_totals(rows.withColumn("_sep", separator), ["doc_id", "line_no"], {"block": F.col("_sep").cast("long")})
+    return rows.where(~F.col("_sep")).drop("_sep")
+
+
 def vocab_json(vocab: DataFrame) -> DataFrame:
     """One row: the vocabulary as a JSON object of id to hex."""
     pairs = F.transform(F.sort_array(F.collect_list(F.struct("id", F.lower("tok").alias("tok")))), lambda s: F.struct(s["id"].cast("string").alias("k"), s["tok"]))
