@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import dot
 
@@ -46,28 +51,79 @@ def swiglu(x: Column, w1: Column, w3: Column, w2: Column) -> Column:
     return linear(F.zip_with(linear(x, w1), linear(x, w3), lambda g, h: silu(g) * h), w2)
 
 
+def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row, a block of queries and a block of keys before or at them: each query's largest score, and the sum of weights
+    and of weighted values relative to it."""
+
+    def block(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+        rows = batch.column(name)[k].values
+        return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+    for batch in batches:
+        out = {c: [] for c in ("pos", "top", "total", "sum")}
+        for k in range(len(batch)):
+            q, keys, values = (block(batch, c, k) for c in ("qs", "ks", "vs"))
+            pos, at = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("poss", "ats"))
+            scores = np.where(at[None, :] <= pos[:, None], q @ keys.T / np.sqrt(q.shape[1]), -np.inf)
+            seen = np.isfinite(scores).any(1)
+            scores, pos = scores[seen], pos[seen]
+            top = scores.max(1, initial=-np.inf)
+            weights = np.exp(scores - top[:, None])
+            out["pos"].append(pos.tolist())
+            out["top"].append(top.tolist())
+            out["total"].append(weights.sum(1).tolist())
+            out["sum"].append((weights @ values).tolist())
+        kinds = {"pos": pa.list_(pa.int64()), "sum": pa.list_(pa.list_(pa.float64()))}
+        columns = [pa.array(x, kinds.get(c, pa.list_(pa.float64()))) for c, x in out.items()]
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("head"), batch.column("block"), *columns], names=["seq", "head", "block", *out])
+
+
+def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the partial results of a block of queries in whatever order they come; only the sums so far are held."""
+    held: dict[int, tuple[float, float, np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.select(["pos", "top", "total", "sum"]).to_pylist():
+            for pos, top, total, value in zip(row["pos"], row["top"], row["total"], row["sum"], strict=True):
+                value = np.array(value)
+                if pos in held:
+                    t, n, v = held[pos]
+                    most = max(t, top)
+                    a, b = np.exp(t - most), np.exp(top - most)
+                    held[pos] = most, a * n + b * total, a * v + b * value
+                else:
+                    held[pos] = top, total, value
+    if held:
+        pos = sorted(held)
+        out = [(held[p][2] / held[p][1]).tolist() for p in pos]
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(pos), k.type) for k in key[:2]] + [pa.array(pos, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["seq", "head", "pos", "out"])
+
+
+#: Places in a block of queries or keys.
+BLOCK = 128
+
+
 def attention(rows: DataFrame, chunk: int | None = None, groups: int = 1) -> DataFrame:
     """Causal attention of rows(seq, head, pos, q, k, v, real): seq, head, pos, out.
 
-    A query sees the real keys up to its place; query head h reads key head h div groups. Sequences are
-    joined on their keys alone, with the order as a further condition; with `chunk`, queries are also
-    dealt out by blocks of places, so that no task holds a long sequence's whole square.
+    A query sees the real keys up to its place; query head h reads key head h div groups. Queries and keys stand in rows of
+    `chunk` places; a block of queries meets each block of keys up to its own in a row, which gives mergeable partial results
+    (largest score, sum of weights, weighted values). They are merged for each block of queries as they come, so neither a join's row
+    nor a group's state grows with the sequence, and no task has all keys of a query. A query without any key has no row.
     """
-    q = rows.select("seq", "head", "pos", "q", (F.col("head") / groups).cast("int").alias("kv"))
-    kv = rows.where("real").select("seq", F.col("head").alias("kv"), F.col("pos").alias("at"), "k", "v").where("k is not null")
-    on = ["seq", "kv"]
-    if chunk:
-        last = rows.groupBy("seq").agg(F.floor(F.max("pos") / chunk).alias("last"))
-        q = q.withColumn("block", F.floor(F.col("pos") / chunk))
-        kv = kv.join(last, "seq").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / chunk), "last"))).drop("last")
-        on.append("block")
-    s = q.join(kv, on).where(F.col("at") <= F.col("pos")).select("seq", "head", "pos", "at", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("score"), "v")
-    row = s.groupBy("seq", "head", "pos").agg(F.sort_array(F.collect_list(F.struct("at", "score", "v"))).alias("s"))
-    top = F.array_max(F.transform("s", lambda e: e["score"]))
-    total = F.aggregate("s", F.lit(0.0), lambda a, e: a + F.exp(e["score"] - top))
-    zero = F.transform(F.element_at("s", 1)["v"], lambda _: F.lit(0.0))
-    out = F.aggregate("s", zero, lambda a, e: F.zip_with(a, e["v"], lambda x, y: x + F.exp(e["score"] - top) * y))
-    return row.select("seq", "head", "pos", F.transform(out, lambda x: x / total).alias("out"))
+    size = chunk or BLOCK
+    block = F.floor(F.col("pos") / size).alias("block")
+    q = rows.select("seq", "head", block, F.col("pos").cast("long").alias("pos"), F.transform("q", lambda x: x.cast("double")).alias("q"))
+    q = q.groupBy("seq", "head", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "q"))).alias("x"))  # `size` rows
+    q = q.select("seq", "head", "block", (F.col("head") / groups).cast("int").alias("kv"), F.col("x.pos").alias("poss"), F.col("x.q").alias("qs"))
+    kv = rows.where("real").where("k is not null").select("seq", F.col("head").cast("int").alias("kv"), F.floor(F.col("pos") / size).alias("own"), F.struct(F.col("pos").cast("long").alias("at"), F.transform("k", lambda x: x.cast("double")).alias("k"), F.transform("v", lambda x: x.cast("double")).alias("v")).alias("x"))
+    kv = kv.groupBy("seq", "kv", "own").agg(F.sort_array(F.collect_list("x")).alias("x"))  # `size` rows
+    last = q.groupBy("seq").agg(F.max("block").alias("last"))
+    kv = kv.join(last, "seq").where(F.col("own") <= F.col("last")).select("seq", "kv", F.explode(F.sequence("own", "last")).alias("block"), F.col("x.at").alias("ats"), F.col("x.k").alias("ks"), F.col("x.v").alias("vs"))
+    met = q.join(kv, ["seq", "kv", "block"]).select("seq", "head", "block", "poss", "qs", "ats", "ks", "vs")
+    numbers = T.ArrayType(T.DoubleType())
+    keys = [rows.schema["seq"], rows.schema["head"]]
+    parts = met.mapInArrow(_partials, T.StructType([*keys, T.StructField("block", T.LongType()), T.StructField("pos", T.ArrayType(T.LongType())), T.StructField("top", numbers), T.StructField("total", numbers), T.StructField("sum", T.ArrayType(numbers))]))
+    return parts.groupBy("seq", "head", "block").applyInArrow(_merge, T.StructType([*keys, T.StructField("pos", T.LongType()), T.StructField("out", numbers)]))
 
 
 def adamw(params: DataFrame, lr: float, beta1: float, beta2: float, eps: float, decay: float) -> DataFrame:

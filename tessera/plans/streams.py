@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import pretokens
-from tessera.operators import transformer
+from tessera.operators import ordering, transformer
 from tessera.plans.base import query, spread, sql_pretokens, table
 from tessera.plans.metrics import ids_of
 from tessera.sources.scratch import shared_dir
-from tessera.streaming import decoder
+from tessera.streaming import batches, decoder
 
 
 @query(f"SELECT conv_id, turn, {sql_pretokens('text')} AS words FROM conversations")
@@ -32,6 +33,36 @@ def streaming_decode(spark, d):
     return pieces.groupBy("stream").agg(text.alias("text"))
 
 
+@query("SELECT conv_id * 100 + turn AS stream, text FROM conversations WHERE text <> ''")
+def streaming_decode_stateful(spark, d):
+    """Each turn's bytes as a stream in four parts, cut anywhere in a character: decoded with state over several micro-batches, by
+    two runs of which the second goes on from the first one's checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # transformWithState needs it
+    at, n = f"{shared_dir(spark)}/stream-decode-{uuid.uuid4().hex}", 2
+    tokens = decoder.byte_tokens(table(spark, d, "conversations").withColumn("stream", F.col("conv_id") * 100 + F.col("turn")), "stream")
+    size = Window.partitionBy("stream")
+    tokens = tokens.withColumn("part", F.floor(F.col("pos") * 4 / (F.max("pos").over(size) + 1))).repartition(n, "stream").persist()
+    for run in range(2):
+        for part in (2 * run, 2 * run + 1):  # a stream's tokens of one part are in one file, and parts come one after the other
+            tokens.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(tokens.drop("part").schema).option("maxFilesPerTrigger", n).parquet(f"{at}/in")
+        pieces = decoder.run_available(source, decoder.decode_stream, f"{at}/out", f"{at}/state")
+    tokens.unpersist()
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "")
+    return pieces.groupBy("stream").agg(text.alias("text"))
+
+
+@query()
+def endless_batches(spark, d):
+    """Seventy-five batches of 32 documents over several seeded epochs, by three runs that each go on from the checkpoint."""
+    docs = table(spark, d, "documents").select("doc_id")
+    n, at = docs.count(), f"{shared_dir(spark)}/endless-{uuid.uuid4().hex}"
+    for _ in range(3):
+        places = decoder.run_available(batches.endless(spark, n, 32, "train", 25), lambda s: s, f"{at}/out", f"{at}/state")
+    return places.join(ordering.ranked(docs, "doc_id", "place"), "place").select("epoch", "batch", "slot", "doc_id")
+
+
 @query()
 def transformer_forward(spark, d):
     """The mean loss of each window of 64 bytes, the model's context, of each turn, under seeded weights."""

@@ -47,9 +47,10 @@ def decode_stream(tokens: DataFrame) -> DataFrame:
 def run_available(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there, into Parquet, and reads it."""
     result = transform(source)
+    spark = source.sparkSession
     q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return source.sparkSession.read.schema(result.schema).parquet(out)
+    return spark.read.schema(result.schema).parquet(out)
 
 
 def decode_batch(tokens: DataFrame) -> DataFrame:
