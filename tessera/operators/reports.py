@@ -1,12 +1,14 @@
-"""Small tables about models and runs."""
+"""Tables about models and runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import ordering
 
-def flops(configs: DataFrame, peaks: DataFrame, tokens_per_second: float) -> DataFrame:
+
+def flops(configs: DataFrame, peaks: DataFrame, tokens_per_second: Column) -> DataFrame:
     """configs with the forward FLOPs of a sequence, the first chip (by ord) whose name the device's holds, and the share of its peak in training."""
     c = configs.select("*", *[F.col(x).cast("long").alias(f"_{x}") for x in ("context", "d_model", "d_ff", "vocab", "kv_heads", "q_heads", "layers")])
     t, w = F.col("_context"), F.col("_d_model")
@@ -14,9 +16,9 @@ def flops(configs: DataFrame, peaks: DataFrame, tokens_per_second: float) -> Dat
     layer = 4 * t * w * w + 4 * t * w * kv + 4 * t * t * w + F.when(F.col("gate"), 3).otherwise(2) * 2 * t * w * F.col("_d_ff")
     c = c.withColumn("flops", F.col("_layers") * layer + 2 * t * w * F.col("_vocab"))
     name = F.upper(F.replace("device", F.lit(" "), F.lit("")))
-    hit = c.select("name", name.alias("n")).join(F.broadcast(peaks), F.expr("contains(n, upper(chip))")).groupBy("name").agg(F.min_by("chip", "ord").alias("chip"), F.min_by("peak", "ord").alias("peak"))  # a few chips
-    step = F.lit(tokens_per_second) / (F.col("batch") * F.col("context"))
-    return c.join(hit, "name", "left").withColumn("mfu", step * 3 * F.col("flops") * F.col("batch") / F.col("peak"))
+    hit = c.select("device", name.alias("n")).distinct().join(F.broadcast(peaks), F.expr("contains(n, upper(chip))")).groupBy("device").agg(F.min_by("chip", "ord").alias("chip"), F.min_by("peak", "ord").alias("peak"))  # a few chips
+    step = tokens_per_second / (F.col("batch") * F.col("context"))
+    return c.join(hit, "device", "left").withColumn("mfu", step * 3 * F.col("flops") * F.col("batch") / F.col("peak"))
 
 
 def parameters(params: DataFrame, embedding: str) -> DataFrame:
@@ -39,17 +41,18 @@ def state_difference(model: DataFrame, saved: DataFrame) -> DataFrame:
     return model.join(saved, "name", "left_anti").withColumn("status", F.lit("missing")).unionByName(saved.join(model, "name", "left_anti").withColumn("status", F.lit("unexpected")))
 
 
-def crossover(bench: DataFrame) -> DataFrame:
-    return bench.agg(F.min(F.when(F.col("cached") / F.greatest("plain", F.lit(1e-6)) > 1, F.col("gen"))).alias("crossover"))
+def crossover(bench: DataFrame, by: str) -> DataFrame:
+    """For each run of bench(by, gen, cached, plain) the first gen at which the cached one is faster."""
+    return bench.groupBy(by).agg(F.min(F.when(F.col("cached") / F.greatest("plain", F.lit(1e-6)) > 1, F.col("gen"))).alias("crossover"))
 
 
 def ablations(runs: DataFrame) -> DataFrame:
-    """A few runs by loss, with their distance from the baseline, or from the best without one."""
+    """Runs by loss, with their distance from the baseline, or from the best without one."""
     base = runs.agg(F.coalesce(F.max(F.when(F.col("name") == "baseline", F.col("val_loss"))), F.min("val_loss")).alias("base"))
-    rows = runs.crossJoin(F.broadcast(base))  # one row
-    place = F.row_number().over(Window.orderBy("val_loss", "name"))  # a row for each run
-    return rows.select(place.cast("long").alias("place"), "name", "val_loss", F.exp("val_loss").alias("val_ppl"), (F.col("val_loss") - F.col("base")).alias("delta"), "params")
+    rows = ordering.ranked(runs, "val_loss", "place", ("name",)).crossJoin(F.broadcast(base))  # one row
+    return rows.select((F.col("place") + 1).alias("place"), "name", "val_loss", F.exp("val_loss").alias("val_ppl"), (F.col("val_loss") - F.col("base")).alias("delta"), "params")
 
 
 def widths(models: DataFrame) -> DataFrame:
-    return models.select(F.concat(F.lit("d"), "d").alias("name"), F.expr("cast((8 * d div 3 + 63) div 64 * 64 as int)").alias("d_ff"))
+    """models with d_ff from d_model."""
+    return models.withColumn("d_ff", F.expr("(8 * d_model div 3 + 63) div 64 * 64"))

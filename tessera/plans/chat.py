@@ -93,13 +93,21 @@ def format_chat(spark, d):
     return chat.plain_chat(table(spark, d, "conversations"))
 
 
-_REQUESTS = "(VALUES (1, NULL::DOUBLE, 0.9::DOUBLE, 40, 0.05::DOUBLE, NULL::DOUBLE, 0.5::DOUBLE), (2, 0.7::DOUBLE, NULL, 0, 0::DOUBLE, 0.2::DOUBLE, -0.4::DOUBLE), (3, 0::DOUBLE, 1::DOUBLE, -3, -1::DOUBLE, -0.5::DOUBLE, -0.1::DOUBLE)) r(request_id, temperature, top_p, top_k, min_p, presence_penalty, frequency_penalty)"
-
-
-@query(f"SELECT request_id, coalesce(temperature, 1::DOUBLE) AS temperature, top_p, CASE WHEN top_k > 0 THEN top_k END AS top_k, CASE WHEN min_p > 0 THEN min_p END AS min_p, 1 + greatest(coalesce(presence_penalty, 0), coalesce(frequency_penalty, 0), 0)::DOUBLE AS repetition_penalty FROM {_REQUESTS}")
+_REQUEST = {
+    "request_id": "event_id",
+    "temperature": "CASE WHEN event_id % 3 > 0 THEN value / 500 END",
+    "top_p": "CASE WHEN event_id % 4 > 0 THEN value / 1000 END",
+    "top_k": "CAST(CASE WHEN event_id % 5 > 0 THEN event_id % 60 - 10 END AS INT)",
+    "min_p": "CASE WHEN event_id % 7 > 0 THEN (event_id % 9 - 3) / 50 END",
+    "presence_penalty": "CASE WHEN event_id % 2 > 0 THEN (event_id % 11 - 5) / 8 END",
+    "frequency_penalty": "CASE WHEN event_id % 6 > 0 THEN value / 250 - 1 END",
+}
+
+
+@query("SELECT request_id, coalesce(temperature, 1::DOUBLE) AS temperature, top_p, CASE WHEN top_k > 0 THEN top_k END AS top_k, CASE WHEN min_p > 0 THEN min_p END AS min_p, 1 + greatest(coalesce(presence_penalty, 0), coalesce(frequency_penalty, 0), 0)::DOUBLE AS repetition_penalty FROM (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _REQUEST.items()) + " FROM events)")
 def request_normalize(spark, d):
-    rows = [(1, None, 0.9, 40, 0.05, None, 0.5), (2, 0.7, None, 0, 0.0, 0.2, -0.4), (3, 0.0, 1.0, -3, -1.0, -0.5, -0.1)]
-    return chat.request_settings(spark.createDataFrame(rows, "request_id int, temperature double, top_p double, top_k int, min_p double, presence_penalty double, frequency_penalty double"))
+    """Each event as a request with some of the settings."""
+    return chat.request_settings(table(spark, d, "events").selectExpr(*[f"{e} AS {c}" for c, e in _REQUEST.items()]))
 
 
 @query("SELECT conv_id, turn, least(nullif(instr(text, ' de '), 0), nullif(instr(text, ' the '), 0), nullif(instr(text, '.'), 0)) - 1 AS stop_at FROM conversations")

@@ -89,9 +89,10 @@ def chunked_text(spark, d):
     return files.text_chunks(table(spark, d, "documents"), 500).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query("SELECT seq, list_transform(range(0, 16), lambda i: floor(('0x' || substr(md5('tokens|' || seq || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1000)::INT) AS ids FROM range(500) r(seq)")
+@query("SELECT doc_id AS seq, list_transform(range(0, (1 + n_chars % 40)::BIGINT), lambda i: floor(('0x' || substr(md5('tokens|' || doc_id || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 1000)::INT) AS ids FROM documents")
 def synthetic_tokens(spark, d):
-    return files.synthetic_tokens(spark, 500, 16, 1000, "tokens")
+    """Seeded ids in place of each document's own, of a length that follows from the document's."""
+    return files.synthetic_tokens(table(spark, d, "documents").select(F.col("doc_id").alias("seq"), (1 + F.col("n_chars") % 40).cast("int").alias("length")), 1000, "tokens")
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, floor(epoch(ts))::BIGINT - min(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id) AS elapsed FROM events")

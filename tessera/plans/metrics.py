@@ -116,22 +116,27 @@ def metric_guards(spark, d):
     return out.select("seq", "n_ids", F.round(metrics.bits_per_char(total, F.col("n_ids"), F.length("text")), 6).alias("bpc"), F.round(metrics.capped_perplexity(loss), 5).alias("perplexity"), F.round("masked", 6).alias("masked"))
 
 
-@query("SELECT i AS step, round(CASE WHEN x >= 0 THEN -ln(1 + exp(-x)) ELSE x - ln(1 + exp(x)) END, 9) AS y FROM (SELECT i, (i - 200) / 5.0::DOUBLE AS x FROM range(401) r(i))")
+@query("SELECT vec_id, round(list_sum(list_transform(x, lambda v: CASE WHEN v >= 0 THEN -ln(1 + exp(-v)) ELSE v - ln(1 + exp(v)) END)), 6) AS total, round(CASE WHEN x[1] >= 0 THEN -ln(1 + exp(-x[1])) ELSE x[1] - ln(1 + exp(x[1])) END, 9) AS first FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE * 200) AS x FROM embeddings)")
 def log_sigmoid_values(spark, d):
-    return spark.range(401).select(F.col("id").alias("step"), F.round(log_sigmoid((F.col("id") - 200) / F.lit(5.0)), 9).alias("y"))
+    """Of all numbers of each vector, far into both tails."""
+    t = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: log_sigmoid(v.cast("double") * 200)).alias("y"))
+    return t.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.element_at("y", 1), 9).alias("first"))
 
 
 _LR = "CASE WHEN t < 100 THEN t / 100.0::DOUBLE * 1e-3::DOUBLE WHEN t <= 1000 THEN 1e-4::DOUBLE + 0.5::DOUBLE * (1 + cos((t - 100) / 900.0::DOUBLE * 3.141592653589793::DOUBLE)) * (1e-3::DOUBLE - 1e-4::DOUBLE) ELSE 1e-4::DOUBLE END"
 
 
-@query(f"SELECT t, round({_LR}, 12) AS lr FROM range(1200) r(t)")
+@query(f"SELECT event_id, t, round({_LR}, 12) AS lr FROM (SELECT event_id, event_id % 1200 AS t FROM events)")
 def lr_schedule(spark, d):
-    return spark.range(1200).select(F.col("id").alias("t"), F.round(cosine_schedule(F.col("id"), 1e-3, 1e-4, 100, 1000), 12).alias("lr"))
+    """The rate at each logged step of runs of 1,200 steps."""
+    t = table(spark, d, "events").select("event_id", (F.col("event_id") % 1200).alias("t"))
+    return t.withColumn("lr", F.round(cosine_schedule(F.col("t"), 1e-3, 1e-4, 100, 1000), 12))
 
 
-@query("SELECT i AS it, round(1e-7::DOUBLE * pow(pow(1.0::DOUBLE / 1e-7::DOUBLE, 1.0::DOUBLE / 100), i), 12) AS lr FROM range(100) r(i)")
+@query("SELECT event_id, round(1e-7::DOUBLE * pow(pow(1.0::DOUBLE / 1e-7::DOUBLE, 1.0::DOUBLE / 100), event_id % 100), 12) AS lr FROM events")
 def lr_ramp(spark, d):
-    return spark.range(100).select(F.col("id").alias("it"), F.round(1e-7 * F.pow(F.lit((1.0 / 1e-7) ** (1.0 / 100)), F.col("id")), 12).alias("lr"))
+    """The rate at each logged step of sweeps of 100 steps."""
+    return table(spark, d, "events").select("event_id", F.round(1e-7 * F.pow(F.lit((1.0 / 1e-7) ** (1.0 / 100)), F.col("event_id") % 100), 12).alias("lr"))
 
 
 # the first 150 events stand for a sweep: a number for each, as a loss

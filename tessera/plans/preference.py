@@ -53,9 +53,11 @@ def pairwise_matchups(spark, d):
     return pref.matchups(_completions(spark, d)).select("prompt_id", "x", "y", "x_text", "y_text")
 
 
-@query("WITH m AS (SELECT * FROM (VALUES (0, 'base'), (1, 'sft'), (2, 'dpo')) m(ord, model)) SELECT a.model AS x, b.model AS y FROM m a JOIN m b ON a.ord < b.ord")
+@query("WITH m AS (SELECT DISTINCT source AS model FROM documents) SELECT a.model AS x, b.model AS y FROM m a JOIN m b ON a.model < b.model")
 def model_pairs(spark, d):
-    return pref.model_pairs(spark.createDataFrame(list(enumerate(MODELS)), "ord int, model string")).select("x", "y")
+    """Sources as models: each pair once, in the order of their names."""
+    models = table(spark, d, "documents").select(F.col("source").alias("ord"), F.col("source").alias("model")).distinct()
+    return pref.model_pairs(models).select("x", "y")
 
 
 @query(f"WITH {_PAIRS} SELECT prompt_id, x, y, length(x_text) >= 40 AND length(y_text) >= 40 AND x_text <> y_text AND left(x_text, 20) <> left(y_text, 20) AND (abs(length(x_text) - length(y_text)) >= 30 OR (left(x_text, 50) <> left(y_text, 50) AND right(x_text, 50) <> right(y_text, 50))) AS keep FROM p")

@@ -109,10 +109,10 @@ def text_chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("chunk", "text"))
 
 
-def synthetic_tokens(spark: SparkSession, rows: int, length: int, vocab: int, seed: str) -> DataFrame:
-    """seq and `length` ids below `vocab` each, from the hash of seed, row and place."""
-    place = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.floor(uniform(F.concat_ws("|", F.lit(seed), F.col("seq").cast("string"), i.cast("string"))) * vocab).cast("int"))
-    return spark.range(rows).select(F.col("id").alias("seq")).withColumn("ids", place)
+def synthetic_tokens(rows: DataFrame, vocab: int, seed: str) -> DataFrame:
+    """rows(seq, length) as seq and `length` ids below `vocab` each, from the hash of seed, row and place."""
+    place = F.transform(F.sequence(F.lit(1), "length"), lambda i: F.floor(uniform(F.concat_ws("|", F.lit(seed), F.col("seq").cast("string"), (i - 1).cast("string"))) * vocab).cast("int"))
+    return rows.select("seq", F.when(F.col("length") > 0, place).otherwise(F.expr("cast(array() as array<int>)")).alias("ids"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
