@@ -126,6 +126,88 @@ def attention(rows: DataFrame, chunk: int | None = None, groups: int = 1) -> Dat
     return parts.groupBy("seq", "head", "block").applyInArrow(_merge, T.StructType([*keys, T.StructField("pos", T.LongType()), T.StructField("out", numbers)]))
 
 
+Layer = dict[str, np.ndarray]
+_VECTOR = T.ArrayType(T.DoubleType())
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _column(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _unit(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
+    return x / np.sqrt((x * x).mean(1, keepdims=True) + eps)
+
+
+def _turned(x: np.ndarray, pos: np.ndarray, theta: float) -> np.ndarray:
+    """rope() for a matrix, a place for each row."""
+    angle = pos[:, None] * theta ** (-np.arange(0, x.shape[1], 2) / x.shape[1])
+    even, odd, cos, sin = x[:, ::2], x[:, 1::2], np.cos(angle), np.sin(angle)
+    return np.stack([even * cos - odd * sin, even * sin + odd * cos], 2).reshape(x.shape)
+
+
+def heads_of(rows: DataFrame, layer: Layer, heads: int, kv_heads: int, theta: float = 10000.0) -> DataFrame:
+    """rows(seq, pos, x, real) to a row for each query head of the normed x, with queries and keys turned by place, as attention() takes them.
+
+    Head h of the first kv_heads carries the keys and values of that number. A batch of rows is one matrix product.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, pos = _unit(_rows(batch.column("x"))), batch.column("pos").to_numpy(zero_copy_only=False)
+            q, k, v = (np.split(x @ layer[c].T, n, 1) for c, n in (("q", heads), ("k", kv_heads), ("v", kv_heads)))
+            for h in range(heads):
+                own = [_column(_turned(k[h], pos, theta)), _column(v[h])] if h < kv_heads else [pa.nulls(len(batch), pa.list_(pa.float64()))] * 2
+                yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("pos"), pa.array(np.full(len(batch), h, np.int32)), _column(_turned(q[h], pos, theta)), *own, batch.column("real")], names=["seq", "pos", "head", "q", "k", "v", "real"])
+
+    fields = [rows.schema["seq"], rows.schema["pos"], T.StructField("head", T.IntegerType()), *(T.StructField(c, _VECTOR) for c in "qkv"), rows.schema["real"]]
+    return rows.select("seq", "pos", "x", "real").mapInArrow(split, T.StructType(fields))
+
+
+def transformer_block(rows: DataFrame, layer: Layer, heads: int, kv_heads: int, chunk: int | None = None) -> DataFrame:
+    """rows(seq, pos, x, real) after a pre-norm block: x + attention(norm(x)), then that + SwiGLU of its norm. Weights: q, k, v, o, w1, w3, w2.
+
+    A place sees earlier real ones only, so the rows of a sequence's start are those of the start alone: what a cache of keys and
+    values holds. A place that sees none takes nothing from attention. The layer's weights go with the tasks.
+    """
+    seen = attention(heads_of(rows, layer, heads, kv_heads), chunk, heads // kv_heads)
+    seen = seen.groupBy("seq", "pos").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("head", "out"))), lambda s: s["out"])).alias("a"))  # a row for each head
+    none = F.array_repeat(F.lit(0.0), layer["o"].shape[1])
+    met = rows.select("seq", "pos", "x", "real").join(seen, ["seq", "pos"], "left").withColumn("a", F.coalesce("a", none))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _rows(batch.column("x")) + _rows(batch.column("a")) @ layer["o"].T
+            n = _unit(x)
+            gate = n @ layer["w1"].T
+            x = x + (gate / (1 + np.exp(-gate)) * (n @ layer["w3"].T)) @ layer["w2"].T
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("pos"), _column(x), batch.column("real")], names=["seq", "pos", "x", "real"])
+
+    return met.mapInArrow(finish, T.StructType([rows.schema["seq"], rows.schema["pos"], T.StructField("x", _VECTOR), rows.schema["real"]]))
+
+
+def next_token_loss(rows: DataFrame, head: np.ndarray) -> DataFrame:
+    """rows(seq, pos, x, target) to seq, pos, target, loss: under logits of the normed x with each row of head; rows without a target go."""
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, len(batch), 1024)):
+                z = _unit(_rows(part.column("x"))) @ head.T
+                top = z.max(1)
+                own = z[np.arange(len(z)), part.column("target").to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([part.column("seq"), part.column("pos"), part.column("target"), pa.array(top + np.log(np.exp(z - top[:, None]).sum(1)) - own)], names=["seq", "pos", "target", "loss"])
+
+    return rows.where("target is not null").select("seq", "pos", "x", "target").mapInArrow(lose, T.StructType([rows.schema["seq"], rows.schema["pos"], rows.schema["target"], T.StructField("loss", T.DoubleType())]))
+
+
 def adamw(params: DataFrame, lr: float, beta1: float, beta2: float, eps: float, decay: float) -> DataFrame:
     """params(theta, grad, m, v, t) after a step: the bias is corrected in the rate, and the decay scales the new theta."""
     t = F.col("t") + 1

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import pretokens
-from tessera.operators import ordering, transformer
+from tessera.operators import generation, ordering, transformer
 from tessera.plans.base import query, spread, sql_pretokens, table
 from tessera.plans.metrics import ids_of
 from tessera.sources.scratch import shared_dir
@@ -72,6 +72,42 @@ def transformer_forward(spark, d):
     return nll.select("seq", F.round("nll", 6).alias("nll"))
 
 
+_BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::INT)"
+
+
+def _sql_generated(k: int, temperature: float, steps: int, stop: int, seed: str) -> str:
+    """CTEs after WITH RECURSIVE up to done(seq, ids)."""
+    return f"""t AS (SELECT conv_id * 100 + turn AS seq, role, {_BYTES.format('text')} AS t FROM conversations WHERE text <> ''),
+counts AS (SELECT prev, tok, count(*) AS n FROM (SELECT unnest(t[:-2]) AS prev, unnest(t[2:]) AS tok FROM t WHERE len(t) > 1) GROUP BY prev, tok),
+top AS (SELECT prev, tok, place, pow(n::DOUBLE, 1 / {temperature}::DOUBLE) AS w FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, tok) AS place FROM counts) WHERE place <= {k}),
+choices AS MATERIALIZED (SELECT prev, list({{'until': until, 'tok': tok}} ORDER BY place) AS c FROM (SELECT prev, tok, place, sum(w) OVER (PARTITION BY prev ORDER BY place) / sum(w) OVER (PARTITION BY prev ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS until FROM top) GROUP BY prev),
+g AS (SELECT seq, 0 AS step, t[-1] AS id, []::INT[] AS ids FROM t WHERE role = 'user'
+  UNION ALL SELECT seq, step + 1, tok, list_append(ids, tok) FROM (SELECT seq, step, ids, coalesce(list_filter(c, lambda x: x.until > ('0x' || substr(md5('{seed}|' || seq || '|' || step), 1, 8))::BIGINT / 4294967296.0::DOUBLE)[1].tok, c[-1].tok)::INT AS tok FROM g JOIN choices ON prev = id WHERE step < {steps} AND (step = 0 OR id <> {stop}))),
+done AS (SELECT seq, arg_max(ids, step) AS ids FROM g GROUP BY seq)"""
+
+
+def _bigram(spark, d, k, temperature):
+    ids = table(spark, d, "conversations").select(F.expr(ids_of("text")).alias("ids"))
+    return generation.next_ids(generation.bigram_counts(ids), k, temperature)
+
+
+def _lasts(spark, d):
+    t = table(spark, d, "conversations").where("role = 'user' and text <> ''")
+    return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.element_at(F.expr(ids_of("text")), -1).alias("last"))
+
+
+@query(f"WITH RECURSIVE {_sql_generated(1, 1.0, 16, 10, 'greedy')} SELECT seq, ids FROM done")
+def bigram_generate(spark, d):
+    """Sixteen ids after each user turn, the most frequent one after the last id each time; a line feed ends it."""
+    return generation.generate(_lasts(spark, d), _bigram(spark, d, 1, 1.0), 16, 10, "greedy")
+
+
+@query(f"WITH RECURSIVE {_sql_generated(8, 0.8, 16, 10, 'sampled')} SELECT seq, (i - 1)::BIGINT AS step, ids[i] AS id, CASE WHEN i = len(ids) THEN CASE WHEN ids[-1] = 10 THEN 'stop' WHEN len(ids) = 16 THEN 'length' ELSE 'end' END END AS finish FROM done, unnest(range(1, len(ids) + 1)) u(i)")
+def bigram_generate_stream(spark, d):
+    """Up to sixteen sampled ids after each user turn (top 8, temperature 0.8), a row for each with the reason for the end."""
+    return generation.pieces(generation.generate(_lasts(spark, d), _bigram(spark, d, 8, 0.8), 16, 10, "sampled"), 10, 16)
+
+
 def _prompts(spark, d):
     return spread(table(spark, d, "conversations").where("role = 'user'")).select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import tensor
@@ -120,6 +121,68 @@ def gqa_attention(spark, d):
     return _out(tensor.attention(rows, groups=2))
 
 
+#: The layers' fixed weights: rows, columns and two factors of ((i * a + j * b) mod 13 - 6) / 10, scaled by a tenth.
+_LAYER = {"q": (64, 64, 3, 5), "k": (32, 64, 5, 7), "v": (32, 64, 7, 3), "o": (64, 64, 2, 9), "w1": (96, 64, 7, 11), "w3": (96, 64, 5, 3), "w2": (64, 96, 3, 7)}
+_HEADS, _KV_HEADS = 4, 2
+
+
+def _made(rows: int, cols: int, a: int, b: int) -> np.ndarray:
+    i, j = np.ogrid[:rows, :cols]
+    return ((i * a + j * b) % 13 - 6) / 100.0
+
+
+def _sql_made(rows: int, cols: int, a: int, b: int) -> str:
+    return f"list_transform(range({rows}), lambda i: list_transform(range({cols}), lambda j: ((i * {a} + j * {b}) % 13 - 6)::DOUBLE / 100))"
+
+
+def _sql_block(given: str, out: str) -> str:
+    """CTEs of a block from given(seq, pos, x) to out(seq, pos, x); w has the weights."""
+    norm = "list_transform({0}, lambda v: v / sqrt(list_sum(list_transform({0}, lambda u: u * u)) / len({0}) + 1e-5::DOUBLE))".format
+    times = "list_transform(w.{1}, lambda r: list_dot_product({0}, r))".format
+    turn = "list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN {0}[i] * cos(pos * pow(10000.0::DOUBLE, -((i - 1) // 2 * 2) / 16.0::DOUBLE)) - {0}[i + 1] * sin(pos * pow(10000.0::DOUBLE, -((i - 1) // 2 * 2) / 16.0::DOUBLE)) ELSE {0}[i - 1] * sin(pos * pow(10000.0::DOUBLE, -((i - 1) // 2 * 2) / 16.0::DOUBLE)) + {0}[i] * cos(pos * pow(10000.0::DOUBLE, -((i - 1) // 2 * 2) / 16.0::DOUBLE)) END)".format
+    return f"""{out}_n AS MATERIALIZED (SELECT seq, pos, x, {norm('x')} AS n FROM {given}),
+    {out}_p AS MATERIALIZED (SELECT seq, pos, {times('n', 'q')} AS q, {times('n', 'k')} AS k, {times('n', 'v')} AS v FROM {out}_n, w),
+    {out}_h AS MATERIALIZED (SELECT seq, pos, h, {turn('q')} AS q, {turn('k')} AS k, v FROM (SELECT seq, pos, h, q[h * 16 + 1 : h * 16 + 16] AS q, k[h // 2 * 16 + 1 : h // 2 * 16 + 16] AS k, v[h // 2 * 16 + 1 : h // 2 * 16 + 16] AS v FROM {out}_p, unnest([0, 1, 2, 3]) u(h))),
+    {out}_s AS (SELECT a.seq, a.h, a.pos, list_dot_product(a.q, b.k) / 4 AS s, b.v FROM {out}_h a JOIN {out}_h b ON a.seq = b.seq AND a.h = b.h AND b.pos <= a.pos),
+    {out}_e AS (SELECT seq, h, pos, v, exp(s - max(s) OVER (PARTITION BY seq, h, pos)) AS e FROM {out}_s),
+    {out}_a AS (SELECT seq, h, pos, [{', '.join(f'sum(e * v[{j}]) / sum(e)' for j in range(1, 17))}] AS y FROM {out}_e GROUP BY seq, h, pos),
+    {out}_c AS MATERIALIZED (SELECT seq, pos, flatten(list(y ORDER BY h)) AS a FROM {out}_a GROUP BY seq, pos),
+    {out}_r AS MATERIALIZED (SELECT seq, pos, list_transform({times('a', 'o')}, lambda v, i: v + x[i]) AS x FROM {out}_c JOIN {out}_n USING (seq, pos), w),
+    {out}_m AS MATERIALIZED (SELECT seq, pos, x, {times('n', 'w1')} AS g, {times('n', 'w3')} AS u FROM (SELECT seq, pos, x, {norm('x')} AS n FROM {out}_r), w),
+    {out} AS MATERIALIZED (SELECT seq, pos, list_transform({times('f', 'w2')}, lambda v, i: v + x[i]) AS x FROM (SELECT seq, pos, x, list_transform(g, lambda v, i: v / (1 + exp(-v)) * u[i]) AS f FROM {out}_m), w)"""
+
+
+_SQL_LAYERS = f"WITH {_X}, w AS MATERIALIZED (SELECT " + ", ".join(f"{_sql_made(*a)} AS {c}" for c, a in _LAYER.items()) + f"), x0 AS (SELECT vec_id // 50 AS seq, vec_id % 50 AS pos, x FROM e), {_sql_block('x0', 'x1')}"
+
+
+def _hidden(spark, d):
+    return _vectors(spark, d).select(F.floor(F.col("vec_id") / 50).alias("seq"), (F.col("vec_id") % 50).alias("pos"), "x", F.lit(True).alias("real"))
+
+
+def _block(rows, chunk=None):
+    return tensor.transformer_block(rows, {c: _made(*a) for c, a in _LAYER.items()}, _HEADS, _KV_HEADS, chunk)
+
+
+@query(f"{_SQL_LAYERS} SELECT seq, pos, {_ROUND.format('x')} AS y FROM x1")
+def transformer_block(spark, d):
+    """A pre-norm block with rotated grouped-query attention and SwiGLU on sequences of fifty vectors."""
+    return _block(_hidden(spark, d), 16).select("seq", "pos", _round(F.col("x")).alias("y"))
+
+
+@query(f"""{_SQL_LAYERS}, {_sql_block('x1', 'x2')}, head AS (SELECT vec_id AS id, x AS vector FROM e WHERE vec_id < 32), goal AS (SELECT vec_id // 50 AS seq, vec_id % 50 AS pos, lead(vec_id % 32) OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS target FROM e),
+z AS (SELECT seq, pos, target, id, list_dot_product(list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda u: u * u)) / len(x) + 1e-5::DOUBLE)), vector) AS z FROM x2 JOIN goal USING (seq, pos), head WHERE target IS NOT NULL),
+m AS (SELECT *, max(z) OVER (PARTITION BY seq, pos) AS m FROM z)
+SELECT seq, pos, target, round(max(m) + ln(sum(exp(z - m))) - max(z) FILTER (id = target), 6) AS loss FROM m GROUP BY seq, pos, target""")
+def language_model_loss(spark, d):
+    """Two blocks, a norm and a head tied to the first 32 vectors: the loss of each place's next id."""
+    e = _vectors(spark, d)
+    goal = e.select(F.floor(F.col("vec_id") / 50).alias("seq"), (F.col("vec_id") % 50).alias("pos"), (F.col("vec_id") % 32).alias("own"))
+    after = goal.select("seq", (F.col("pos") - 1).alias("pos"), F.col("own").alias("target"))
+    rows = _block(_block(_hidden(spark, d))).join(after, ["seq", "pos"])
+    head = np.array([r["x"] for r in e.where("vec_id < 32").orderBy("vec_id").collect()])  # the head's 32 rows
+    return tensor.next_token_loss(rows, head).withColumn("loss", F.round("loss", 6))
+
+
 @query("SELECT d.doc_id, e.vec_id, e.label, round(list_sum(e.embedding)::DOUBLE, 4) AS total FROM documents d JOIN embeddings e ON e.vec_id = d.n_chars % 500")
 def embedding_lookup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 500).alias("vec_id"))
