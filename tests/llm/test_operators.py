@@ -539,3 +539,21 @@ def test_pipeline_matches_its_stages_by_brute_force(spark):
     assert {r.doc_id for r in got} == {r.doc_id for r in e.collect()}
     _whole(got, 2048)
     assert pack is not None
+
+
+def test_lines_that_lost_blanks(spark):
+    """Forms that differ in blanks alone meet at every length: some or all blanks lost, in crowds too."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    base = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 5, 9, 20, 60, 200) for _ in range(6)]
+    lost = [x.replace(" ", "") for x in base] + ["".join(c for c in x if c != " " or rng.random() < 0.5) for x in base]
+    crowd = " ".join(word() for _ in range(40))
+    many = ["".join(c for c in crowd if c != " " or rng.random() < 0.6) for _ in range(60)]
+    rows = [*base, *lost, crowd, *many]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r.n_removed for r in lines.fuzzy_line_dedup(df).collect()}
+    linked = lambda a, b: edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    for k, x in enumerate(base):
+        for j in (len(base) + k, 2 * len(base) + k):
+            assert out[j] == int(linked(x, rows[j])), (x, rows[j])
+    assert sum(out[k] == 0 for k in range(3 * len(base), len(rows))) == 1
