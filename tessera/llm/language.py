@@ -9,7 +9,8 @@ For each language, the log posterior adds up
            without the page's own share
 The last three are estimated from all pages by grouped aggregation of the text's own posteriors, so
 no page needs a label. The likelihood is fitted on about `sample` documents of each language (by a
-hash of their ids), the classes are the languages found there, MOST_LANGUAGES at most (more are an error).
+hash of their ids), the classes are the languages found there; beyond MOST_LANGUAGES the codes of the fewest documents
+are one class, OTHER.
 
 Null html is an empty text, null url an empty host; an absent attribute or suffix is a value of its
 own. Without any text, the text is no evidence. Ties go to the language code that sorts first. Rows
@@ -32,7 +33,7 @@ from .store import Scratch, join_spread
 from .textops import LOWER, U, combine, flat, mix, slices, small
 
 SAMPLE, TEXT_RUNS, HOST_WEIGHT, DOMAIN_WEIGHT, SMOOTHING = 300, 25, 4.0, 8.0, 0.5
-SLOT_BITS, MOST_LANGUAGES = 16, 1000
+SLOT_BITS, MOST_LANGUAGES, OTHER = 16, 200, "other"
 # Labels under which countries register names, so that a registered name has one label more.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 SLICE_BYTES = 1 << 20
@@ -96,11 +97,18 @@ def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and each slot's log probability in each, from about `sample` documents of a language: those whose ids hash below the language's share."""
+    """Languages, and each slot's log probability in each, from about `sample` documents of a language: those whose ids hash below the language's share.
+
+    The MOST_LANGUAGES - 1 codes with the most documents are languages of their own; if there are more codes, the others are together one, OTHER.
+    """
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text"))
-    sizes = [(r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1)
+    sizes = sorted((r["lang"], r["count"]) for r in sizes.collect())
     if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; map what isn't a language code to null")
+        top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES - 1).select("lang")
+        known = known.join(F.broadcast(top.withColumn("own", F.lit(True))), "lang", "left")  # MOST_LANGUAGES rows
+        known = known.withColumn("lang", F.when(F.col("own"), F.col("lang")).otherwise(OTHER)).drop("own")
+        sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())
     if not sizes:
         return [], np.zeros((0, 1 << SLOT_BITS))
     below = [(lang, max(-(1 << 63), min((1 << 63) - 1, int(min(1.0, sample / n) * 2.0**64) - (1 << 63)))) for lang, n in sizes]

@@ -243,9 +243,13 @@ def test_language_of_entities_hot_hosts_and_many_codes(spark, monkeypatch):
     assert language.identify(long, d).first().lang == "fr"
     names = spark.createDataFrame([("a.shop.co.uk",), ("shop.co.uk",), ("x.example.fr",), ("localhost",), ("co.uk",)], "host string")
     assert [r[0] for r in names.select(language.domain_of("host")).collect()] == ["shop.co.uk", "shop.co.uk", "example.fr", "localhost", "co.uk"]
-    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        language.identify(p, d)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    odd = spark.createDataFrame([(900 + k, "zzz qqq xxx " * 20, c) for k, c in enumerate(["aa", "bb", "cc", "cc"])], "doc_id long, text string, lang string")
+    assert language.fit(d.unionByName(odd))[0] == ["en", "fr", "other"]
+    got = language.identify(p, d.unionByName(odd)).collect()
+    assert sorted(r.lang for r in got) == ["en"] * 30 + ["fr"] * 30
+    page = spark.createDataFrame([(1, "https://a.b", "<p>" + "qqq zzz " * 30 + "</p>")], "page_id long, url string, html string")
+    assert language.identify(page, d.unionByName(odd)).first().lang == "other"
 
 
 def test_contamination(spark, docs, texts, empty, monkeypatch):
@@ -557,3 +561,56 @@ def test_lines_that_lost_blanks(spark):
         for j in (len(base) + k, 2 * len(base) + k):
             assert out[j] == int(linked(x, rows[j])), (x, rows[j])
     assert sum(out[k] == 0 for k in range(3 * len(base), len(rows))) == 1
+
+
+def test_language_fusion_against_plain_loops(spark):
+    """Evidence, grouped counts, smoothed priors and the posterior, page by page; null labels, codes and texts among the documents."""
+    rng = random.Random(21)
+    vocab = {"en": ["the", "house", "with"], "de": ["das", "haus", "mit"], "fr": ["la", "maison", "avec"]}
+    rows = [(k, " ".join(rng.choice(vocab[c]) for _ in range(rng.randint(0, 12))), c) for k, c in enumerate(["en", "de", "fr"] * 8)] + [(90, None, "en"), (91, "das haus", None), (92, "", "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pages = []
+    for k in range(45):
+        c = rng.choice(list(vocab))
+        host = rng.choice(["a.x.de", "b.x.de", "shop.fr", "w.shop.fr", "one.com", "localhost"])
+        pages.append((k, f"https://{host}/p", f"<html{rng.choice([f' lang={c}', ''])}><p>{' '.join(rng.choice(vocab[c]) for _ in range(rng.randint(0, 6)))}</p>"))
+    pages += [(45, None, None), (7, "https://a.x.de", "<p>das</p>")]
+    langs, weights = language.fit(d)
+    assert langs == ["de", "en", "fr"]
+    n = {}
+    for _, t, c in rows:
+        if t is not None and c is not None:
+            slots = language._runs(*language.flat(pa.array([t], pa.large_string())))[0] if t else []
+            for x in slots:
+                n.setdefault(c, {}).setdefault(int(x), 0)
+                n[c][int(x)] += 1
+    for k, c in enumerate(langs):
+        total = sum(n[c].values()) + 0.01 * 2**language.SLOT_BITS
+        for x in list(n[c])[:20]:
+            assert weights[k][x] == pytest.approx(np.log((n[c][x] + 0.01) / total))
+    w32, seen = weights.astype(np.float32), []
+    for i, url, page in pages:
+        text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", page or "")).strip()
+        slots = language._runs(*language.flat(pa.array([text], pa.large_string())))[0] if text else np.zeros(0, np.int64)
+        e = np.array([float(w[slots].astype(float).sum()) for w in w32]) / max(1, len(slots)) * min(len(slots), language.TEXT_RUNS)
+        e -= e.max()
+        host = re.match(r"https://([^/]+)", url)[1] if url else ""
+        declared = re.search(r"lang=(\w+)", page or "")
+        seen.append({"id": i, "e": e, "w": np.exp(e) / np.exp(e).sum(), "declared": declared[1] if declared else "", "suffix": host.rsplit(".", 1)[-1] if "." in host else "", "domain": ".".join(host.split(".")[-2:]), "host": host})
+    total = sum(p["w"] for p in seen)
+    sums = {by: {v: sum(p["w"] for p in seen if p[by] == v) for v in {p[by] for p in seen}} for by in ("declared", "suffix", "domain", "host")}
+    want = []
+    for p in seen:
+        w = p["w"]
+        share = (total - w + 1) / (total.sum() - 1 + 3)
+        domain = (sums["domain"][p["domain"]] - w + language.DOMAIN_WEIGHT * share) / (sums["domain"][p["domain"]].sum() - 1 + language.DOMAIN_WEIGHT)
+        prior = (sums["host"][p["host"]] - w + language.HOST_WEIGHT * domain) / (sums["host"][p["host"]].sum() - 1 + language.HOST_WEIGHT)
+        log = p["e"] + np.log(np.maximum(prior, 1e-9))
+        for by in ("declared", "suffix"):
+            log = log + np.log((np.maximum(sums[by][p[by]] - w, 0) + language.SMOOTHING) / (total - w + language.SMOOTHING * len(sums[by])))
+        best = int(np.argmax(log))
+        want.append((p["id"], langs[best], round(float(1 / np.exp(log - log[best]).sum()), 6), langs[int(np.argmax(p["e"]))], p["declared"], p["suffix"], p["host"]))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = [(r.page_id, r.lang, round(r.probability, 6), r.text_lang, r.declared, r.suffix, r.host) for r in language.identify(df, d).collect()]
+    assert [x[:2] + x[3:] for x in sorted(got)] == [x[:2] + x[3:] for x in sorted(want)]
+    assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)], abs=1e-4)
