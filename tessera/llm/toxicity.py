@@ -10,9 +10,9 @@ Features are hashed to 2**SLOT_BITS slots. It is fitted in one task on at most `
 their ids, and of these as many as hold SAMPLE_BYTES) outside the held-out fifth, and keeps the `most_features` n-grams that differ most.
 Of rows with the same doc_id the fit takes the least text.
 Scoring reads every whole text. Null and empty texts get the score that the constant gives. Rows
-with null doc_id are scored, count as not held out and are never trained on. Without any labelled
-document of either kind, the score is 0.5 for a kind that is missing altogether or the share of
-toxic labels. Repeated rows are scored each. Extra columns are ignored.
+with null doc_id are scored, count as not held out and are never trained on. Where the sample lacks a label, or
+no n-gram tells the labels apart, the score follows the labels' numbers alone, (toxic + 0.5) to (clean + 1.5), so that
+without any label all documents count as clean. Repeated rows are scored each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import Scratch, small_batches
 from .textops import BYTE, U, flat, mix, powers, slices, small
 
 GRAMS = (4, 5, 6)
@@ -124,18 +123,21 @@ def _differing(counts: np.ndarray, n1: float, n0: float, most: int) -> tuple[np.
 
 
 def fit(texts: list[str] | pa.Array, toxic: list[int], most_features: int = MOST_FEATURES, penalty: float = 1e-3, steps: int = 300) -> Model:
-    """A model from fewer than 65,536 labelled texts."""
+    """A model from fewer than 65,536 labelled texts. Where nothing tells the labels apart, or there is one or none, their shares alone
+    decide, and without any label all texts count as clean."""
     y = np.array(toxic, float)
     n1, n0 = y.sum(), (1 - y).sum()
+    prior = Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((n1 + 0.5) / (n0 + 1.5)), -6, 6)))
     if not n1 or not n0:
-        share = n1 / len(y) if len(y) else 0.5
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -6, 6)))
+        return prior
     data, offs = flat(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
     counts = np.zeros((2, 1 << SLOT_BITS), np.uint16)
     for i, slots in _slots(data, offs):
         counts[toxic[i], slots] += 1
     slots, r = _differing(counts, n1, n0, most_features)
     del counts
+    if not len(slots):
+        return prior
     col, size = [], np.zeros(len(y), np.int64)
     for i, own in _slots(data, offs):
         k = np.minimum(np.searchsorted(slots, own), max(0, len(slots) - 1))
@@ -186,6 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     ids = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(most_clean))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # at most most_toxic + most_clean ids
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic", F.xxhash64("doc_id").alias("turn"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = Scratch(docs.sparkSession, "toxicity").keep(rows, "sample")
+    # texts beyond SAMPLE_BYTES, in the order of `turn`, stay where they are: only their lengths are added up (most_toxic + most_clean rows)
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy("turn", "doc_id"))
+    near = rows.select("doc_id", "turn", upto.alias("upto"), F.row_number().over(Window.orderBy("turn", "doc_id")).alias("nth")).where((F.coalesce("upto", F.lit(0)) <= SAMPLE_BYTES) | (F.col("nth") == 1))
+    rows = rows.join(F.broadcast(near.select("doc_id")), "doc_id").select("text", "toxic", "turn", "doc_id")
     got = rows.repartition(1).mapInArrow(_fitted, "keys binary, weights binary, bias double").first()
     return Model(np.frombuffer(got["keys"], np.int64), np.frombuffer(got["weights"], float), got["bias"]) if got else fit([], [])
 
@@ -198,10 +205,7 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batches = list(batches)
     table = pa.Table.from_batches(batches) if batches else _SAMPLE.empty_table()
     turn, ids = (table.column(c).to_numpy() for c in ("turn", "doc_id"))
-    order = np.lexsort((ids, turn))
-    size = np.cumsum(pc.fill_null(pc.binary_length(table.column("text")), 0).to_numpy()[order])
-    order = order[: max(1, int(np.searchsorted(size, SAMPLE_BYTES, "right")))]
-    table = table.take(pa.array(order))
+    table = table.take(pa.array(np.lexsort((ids, turn))))
     model = fit(table.column("text").combine_chunks(), table.column("toxic").to_pylist())
     del table
     yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["keys", "weights", "bias"])

@@ -156,6 +156,10 @@ def test_packing_is_near_the_bound(spark):
     df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES)
     got = packing.pack_pieces(df, store.Scratch(spark, "t"), 200, 24, 25).collect()
     assert len(got) == 4000 and _whole(got, 200) <= 1.1 * max(sum(sizes) / 200, sum(n > 100 for n in sizes))
+    sizes = [min(2048, int(rng.paretovariate(1.1) * 60)) for _ in range(6000)]  # a production capacity, lengths like those of documents
+    df = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECES)
+    got = packing.pack_pieces(df, store.Scratch(spark, "t2"), 2048).collect()
+    assert len(got) == 6000 and _whole(got, 2048) <= 1.01 * max(sum(sizes) / 2048, sum(n > 1024 for n in sizes)) + 1
 
 
 def test_toxicity(spark, docs, empty):
@@ -614,3 +618,59 @@ def test_language_fusion_against_plain_loops(spark):
     got = [(r.page_id, r.lang, round(r.probability, 6), r.text_lang, r.declared, r.suffix, r.host) for r in language.identify(df, d).collect()]
     assert [x[:2] + x[3:] for x in sorted(got)] == [x[:2] + x[3:] for x in sorted(want)]
     assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)], abs=1e-4)
+
+
+def test_token_files_and_packing_of_repeated_and_missing_ids(spark):
+    """Rows with one doc_id, or none, are each written, packed and scored."""
+    rows = [(None, "no id"), (None, None), (5, "five words stand right here"), (5, "five words stand right here"), (5, "another text"), (1, ""), (1, "x " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = public.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    got = token_files.token_files(df, path).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want = [(i, len(ids), crc(ids)) for i, x in rows for ids in [[*t.encode(x or "", add_special_tokens=False).ids, 2]]]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], key=key) == sorted(want, key=key)
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert [a for a, _ in spans] == np.concatenate([[0], np.cumsum([n for _, n in spans])[:-1]]).tolist()
+    assert [r.doc_id or 0 for r in sorted(got, key=lambda r: r.start)] == sorted(i or 0 for i, _ in rows)
+    path = public.path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    packed = packing.best_fit_packing(df, path).collect()
+    assert sum(r.length for r in packed) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
+    _whole(packed, 2048)
+    scored = toxicity.score_documents(df, spark.createDataFrame([(5, 1), (1, 0), (None, 1), (5, 1)], "doc_id long, toxic int")).collect()
+    assert len(scored) == len(rows) and len({r.score for r in scored if r.doc_id == 5}) <= 2 and all(0 <= r.score <= 1 for r in scored)
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    """Texts beyond the bound are left out by their hash order before they come to a task; the first one always stays."""
+    rows = [(k, ("vrelk bad " if k % 2 else "river stone ") * (400 if k % 7 == 0 else 10)) for k in range(300)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    sizes = {}
+    for most in (1, 6_000, 64 << 20):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
+        sizes[most] = len(toxicity.train(d, lab).keys)
+        got = toxicity.score_documents(d, lab).collect()
+        assert len(got) == 300 and all(0 <= r.score <= 1 for r in got)
+    assert sizes[1] <= sizes[6_000] <= sizes[64 << 20]
+
+
+def test_pipeline_of_odd_and_of_empty_tables(spark, docs, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns of clashing names; empty tables."""
+    odd = docs.unionByName(docs.where("doc_id in (5, 6)")).unionByName(docs.limit(1).selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as bigint) as n_chars", *[f"cast(null as string) as {c}" for c in docs.columns[5:]]))
+    labels = spark.createDataFrame([(None, 1, None), (11, 0, 1), (11, 0, 1), *[(k, None, 0) for k in range(5, 28) if k != 11]], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("a", None), (None, "etaoin shrdlu"), ("b", "")], "item_id string, text string")
+    for name, d, lab, ben in [("odd", odd, labels, bench), ("empty", docs.limit(0), labels.limit(0), bench.limit(0))]:
+        at = tmp_path / name
+        d.write.parquet(f"{at}/documents.parquet")
+        lab.write.parquet(f"{at}/labels.parquet")
+        ben.write.parquet(f"{at}/benchmark.parquet")
+        now = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            now = f(spark, now, str(at))
+            assert now.columns == docs.columns, stage
+        left = now.count()
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        assert len([r for r in got if r.piece == 0]) == left and (left > 10) == (name == "odd")
+        _whole(got, 2048)
