@@ -10,25 +10,33 @@ from tessera.operators import bpe, merging
 
 
 def _plain(words, most):
-    """One merge at a time; only words with the merged pair are counted anew."""
-    own, counts, where, out = [list(t) for t, _ in words], Counter(), {}, []
+    """One merge at a time; pairs stand in sets by their counts, and only words with the merged pair are counted anew."""
+    own, counts, where, out, by = [list(t) for t, _ in words], Counter(), {}, [], {}
+
+    def add(p, n):
+        by.get(counts[p], set()).discard(p)
+        counts[p] += n
+        by.setdefault(counts[p], set()).add(p)
+
     for k, (t, n) in enumerate(words):
         for p in zip(t, t[1:]):
-            counts[p] += n
+            add(p, n)
             where.setdefault(p, set()).add(k)
-    while counts and len(out) < most:
-        (a, b), c = max(counts.items(), key=lambda x: (x[1], x[0]))
+    while len(out) < most:
+        c = max((n for n, s in by.items() if s and n > 0), default=0)
+        if not c:
+            break
+        a, b = max(by[c])
         out.append((a, b, c))
-        for k in list(where.get((a, b), ())):
-            for p in zip(own[k], own[k][1:]):
-                counts[p] -= words[k][1]
-                if not counts[p]:
-                    del counts[p]
-            own[k] = merging.replaced(own[k], a, b)
+        for k in where.pop((a, b)):
+            now = merging.replaced(own[k], a, b)
             for p in zip(own[k], own[k][1:]):
-                counts[p] += words[k][1]
+                add(p, -words[k][1])
+            for p in zip(now, now[1:]):
+                add(p, words[k][1])
                 where.setdefault(p, set()).add(k)
-        where.pop((a, b), None)
+            own[k] = now
+        by = {n: s for n, s in by.items() if s}
     return out, own
 
 
