@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,14 @@ def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def _pii_key() -> str:
+    if "PII_KEY" not in os.environ:
+        warnings.warn("PII_KEY is not set: pseudonyms use a key that anyone can read in the source and undo", stacklevel=3)
+    return os.environ.get("PII_KEY", "example key, replace it")
+
+
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), os.environ.get("PII_KEY", "example key, replace it"))
+    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), _pii_key())
     return out.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_values"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 
