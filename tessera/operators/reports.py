@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.operators import ordering
 
@@ -46,6 +52,52 @@ def crossover(bench: DataFrame, by: str) -> DataFrame:
     return bench.groupBy(by).agg(F.min(F.when(F.col("cached") / F.greatest("plain", F.lit(1e-6)) > 1, F.col("gen"))).alias("crossover"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded as DuckDB does it: the scaled double, halves away from zero; Spark's round takes the decimal digits instead."""
+    return F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
+def means_in_order(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, mean, n: each key's mean, its values added one after the other in an order, and the number of its rows.
+
+    Sums of doubles depend on the order, and where a mean is halfway between two rounded values its last bit counts. Rows are sorted
+    by key, so a task holds one sum at a time. Null values don't count for the mean.
+    """
+    kind = rows.schema[key].dataType
+    own = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(value).cast("double").alias("value"))
+    own = own.repartition("key").sortWithinPartitions("key", "order").select("key", "value")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last key, with its sum, values and rows so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys, values = batch.column("key"), batch.column("value")
+            new = np.ones(len(batch), bool)
+            new[1:] = [a != b for a, b in zip(keys[1:].to_pylist(), keys[:-1].to_pylist(), strict=True)]
+            at, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            names, real = keys.take(pa.array(first)).to_pylist(), values.is_valid().to_numpy(zero_copy_only=False)
+            start, seen, n = np.zeros(len(first)), np.bincount(at[real], minlength=len(first)), np.bincount(at)
+            if held and held[0] == names[0]:
+                start[0], seen[0], n[0] = held[1], seen[0] + held[2], n[0] + held[3]
+            elif held:
+                yield out([held])
+            # bincount adds in order
+            sums = np.bincount(np.concatenate([np.arange(len(first)), at[real]]), np.concatenate([start, values.to_numpy(zero_copy_only=False)[real]]))
+            done = list(zip(names, sums.tolist(), seen.tolist(), n.tolist(), strict=True))
+            held = done.pop()
+            if done:
+                yield out(done)
+        if held:
+            yield out([held])
+
+    def out(done: list[tuple]) -> pa.RecordBatch:
+        return pa.table({"key": pa.array([r[0] for r in done], of), "mean": pa.array([r[1] / r[2] if r[2] else None for r in done], pa.float64()), "n": pa.array([r[3] for r in done], pa.int64())}).to_batches()[0]
+
+    of = to_arrow_type(kind)
+    return own.mapInArrow(add_up, T.StructType([T.StructField("key", kind), T.StructField("mean", T.DoubleType()), T.StructField("n", T.LongType())]))
+
+
 def ablations(runs: DataFrame) -> DataFrame:
     """Runs by loss, with their distance from the baseline, or from the best without one."""
     base = runs.agg(F.coalesce(F.max(F.when(F.col("name") == "baseline", F.col("val_loss"))), F.min("val_loss")).alias("base"))

@@ -105,6 +105,6 @@ _RUNS_SQL = "r AS (SELECT CASE WHEN user_id = 0 THEN 'baseline' ELSE 'run-' || u
 def ablation_report(spark, d):
     """Users as runs, by their mean value as a loss."""
     name = F.when(F.col("user_id") == 0, "baseline").otherwise(F.concat(F.lit("run-"), "user_id"))
-    runs = table(spark, d, "events").groupBy(name.alias("name")).agg(F.round(F.avg("value") / 100, 6).alias("val_loss"), (F.count("*") * 1000).alias("params"))
-    out = reports.ablations(runs)
-    return out.select("place", "name", "val_loss", F.round("val_ppl", 4).alias("val_ppl"), (F.round("delta", 6) + 0.0).alias("delta"), "params")
+    means = reports.means_in_order(table(spark, d, "events").select(name.alias("name"), "event_id", "value"), "name", "event_id", "value")
+    out = reports.ablations(means.select(F.col("key").alias("name"), reports.rounded(F.col("mean") / 100, 6).alias("val_loss"), (F.col("n") * 1000).alias("params")))
+    return out.select("place", "name", "val_loss", reports.rounded(F.col("val_ppl"), 4).alias("val_ppl"), (reports.rounded(F.col("delta"), 6) + 0.0).alias("delta"), "params")
