@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import pretokens
+from tessera.functions.text import byte_ids, pretokens
 from tessera.operators import generation, ordering, transformer
 from tessera.plans.base import query, spread, sql_pretokens, table
 from tessera.plans.metrics import ids_of
@@ -15,6 +15,10 @@ from tessera.sources.scratch import shared_dir
 from tessera.streaming import batches, decoder
 
 
+#: Turns in a task of the model, and bytes of text in one of the incremental decoder: what a task does has a bound, their number grows.
+PROMPTS, DECODED = 1000, 1 << 21
+
+
 @query(f"SELECT conv_id, turn, {sql_pretokens('text')} AS words FROM conversations")
 def stream_encode(spark, d):
     """Conversations as a stream, pre-tokenized as they come; the rows are those of the batch."""
@@ -39,8 +43,9 @@ def streaming_decode_stateful(spark, d):
     two runs of which the second goes on from the first one's checkpoint."""
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # transformWithState needs it
-    at, n = f"{shared_dir(spark)}/stream-decode-{uuid.uuid4().hex}", 2
-    tokens = decoder.byte_tokens(table(spark, d, "conversations").withColumn("stream", F.col("conv_id") * 100 + F.col("turn")), "stream")
+    at, turns = f"{shared_dir(spark)}/stream-decode-{uuid.uuid4().hex}", table(spark, d, "conversations")
+    n = max(2, -(-(turns.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // DECODED))
+    tokens = decoder.byte_tokens(turns.withColumn("stream", F.col("conv_id") * 100 + F.col("turn")), "stream")
     size = Window.partitionBy("stream")
     tokens = tokens.withColumn("part", F.floor(F.col("pos") * 4 / (F.max("pos").over(size) + 1))).repartition(n, "stream").persist()
     for run in range(2):
@@ -66,7 +71,7 @@ def endless_batches(spark, d):
 @query()
 def transformer_forward(spark, d):
     """The mean loss of each window of 64 bytes, the model's context, of each turn, under seeded weights."""
-    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn"), F.expr(ids_of("text")).alias("t")).where("size(t) > 0")
+    t = spread(table(spark, d, "conversations"), PROMPTS).select((F.col("conv_id") * 100 + F.col("turn")).alias("turn"), byte_ids("text").alias("t")).where("size(t) > 0")
     t = t.select("turn", F.posexplode(F.expr("transform(sequence(1, size(t), 64), s -> slice(t, s, 64))")).alias("w", "ids"))
     nll = transformer.score(t.select((F.col("turn") * 10_000 + F.col("w")).alias("seq"), "ids"), transformer.Transformer())
     return nll.select("seq", F.round("nll", 6).alias("nll"))
@@ -109,7 +114,7 @@ def bigram_generate_stream(spark, d):
 
 
 def _prompts(spark, d):
-    return spread(table(spark, d, "conversations").where("role = 'user'")).select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.expr(ids_of("text")).alias("ids"))
+    return spread(table(spark, d, "conversations").where("role = 'user'"), PROMPTS).select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), byte_ids("text").alias("ids"))
 
 
 @query()
