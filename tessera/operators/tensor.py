@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import dot
+from tessera.sources.scratch import small_batches
 
 
 def doubles(x: str | Column) -> Column:
@@ -110,6 +111,7 @@ def attention(rows: DataFrame, chunk: int | None = None, groups: int = 1) -> Dat
     (largest score, sum of weights, weighted values). They are merged for each block of queries as they come, so neither a join's row
     nor a group's state grows with the sequence, and no task has all keys of a query. A query without any key has no row.
     """
+    small_batches(rows.sparkSession)  # a row is a block of queries with one of keys
     size = chunk or BLOCK
     block = F.floor(F.col("pos") / size).alias("block")
     q = rows.select("seq", "head", block, F.col("pos").cast("long").alias("pos"), F.transform("q", lambda x: x.cast("double")).alias("q"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import tensor
-from tessera.plans.base import query, table
+from tessera.plans.base import query, spread, table
 
 _X = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"
 
@@ -32,7 +32,7 @@ _ROUND = "list_transform({}, lambda v: round(v, 6) + 0.0)"
 
 
 def _vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", tensor.doubles("embedding").alias("x"))
+    return spread(table(spark, d, "embeddings")).select("vec_id", tensor.doubles("embedding").alias("x"))
 
 
 @query(f"WITH {_X} SELECT vec_id, {_ROUND.format(_sql_linear('x', _sql_weight(16, 64, 31, 17)))} AS y FROM e")
