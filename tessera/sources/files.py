@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import uniform
 from tessera.operators import ordering
+from tessera.sources.scratch import small_batches
 
 
 def read_text_documents(spark: SparkSession, path: str, separator: str) -> DataFrame:
@@ -59,14 +61,31 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
 
 
+#: Bytes of payloads, or of lists, that a task parses or makes at a time.
+PAYLOADS = 1 << 22
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of PAYLOADS bytes, or of one row that has more."""
+    lengths = batch.column(column)
+    size = pc.fill_null(pc.binary_length(lengths) if pa.types.is_binary(lengths.type) else pc.multiply(pc.list_value_length(lengths), 8), 0)
+    group = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // PAYLOADS
+    cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(batch)] if len(batch) else [0]
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        yield batch.slice(a, z - a)
+
+
 def parse_npy(df: DataFrame, column: str = "content") -> DataFrame:
     """df with `ids`, the whole numbers of a .npy payload."""
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != column]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.load(io.BytesIO(x.as_py())).astype(np.int64) for x in batch.column(column)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ids, pa.list_(pa.int64()))], names=[*names, "ids"])
+            for part in _parts(batch, column):
+                ids = [np.load(io.BytesIO(x.as_py())) for x in part.column(column)]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(ids).astype(np.int64)))], names=[*names, "ids"])
 
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.LongType()))])
     return df.mapInArrow(parse, schema)
@@ -82,19 +101,20 @@ def npy_payloads(df: DataFrame, column: str = "ids", name: str = "content") -> D
 
     A number outside 0 to 65,535 is an error; null and empty lists are payloads without numbers.
     """
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != column]
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in _parts(batch, column)):
             out = []
-            for ids in batch.column(column):
+            for ids in part.column(column):
                 numbers = ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else np.zeros(0, np.int64)
                 if len(numbers) and not 0 <= numbers.min() <= numbers.max() < 1 << 16:
                     raise ValueError("an id does not fit 16 bits")
                 f = io.BytesIO()
                 np.save(f, numbers.astype(np.uint16))
                 out.append(f.getvalue())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary())], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(out, pa.binary())], names=[*names, name])
 
     return df.mapInArrow(save, T.StructType([*[df.schema[c] for c in names], T.StructField(name, T.BinaryType())]))
 
