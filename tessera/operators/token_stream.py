@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import uniform
 from tessera.operators import ordering
@@ -48,6 +54,41 @@ def windows(segments: DataFrame, wanted: DataFrame, block: int = BLOCK) -> DataF
     return met.groupBy(*names).agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["ids"])).alias("ids"))  # a window's ids
 
 
+def list_sums(lists: pa.Array, start: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each list of whole numbers its sum, and its sum by place; places count on from start + 1. A null list has none."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, end = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(size)
+    place = np.arange(len(x)) - np.repeat(end - size - start, size) + 1
+    plain, placed = (np.concatenate([[0], np.cumsum(y)]) for y in (x, x * place))
+    return plain[end] - plain[end - size], placed[end] - placed[end - size]
+
+
+def sums(found: DataFrame, names: list[str]) -> DataFrame:
+    """names of found(inputs, targets, ...) with the lists' length, sums and sums by place, each batch in arrays."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pc.cast(pc.list_value_length(batch.column("inputs")), pa.int64())
+            columns = [pa.array(x) for c in ("inputs", "targets") for x in list_sums(batch.column(c))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], n, *columns], names=schema.names)
+
+    added = ["n_ids", "input_sum", "input_placed", "target_sum", "target_placed"]
+    schema = T.StructType([*[found.schema[c] for c in names], *(T.StructField(c, T.LongType()) for c in added)])
+    return found.select(*names, "inputs", "targets").mapInArrow(add_up, schema)
+
+
+def slice_sums(rows: DataFrame, width: int) -> DataFrame:
+    """rows(start, ids) to slice, n, s, p: the slice of `width` places that a row starts in, its length, sum and sum by place in the stream."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = batch.column("start").to_numpy(zero_copy_only=False)
+            n = pc.cast(pc.list_value_length(batch.column("ids")), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(start // width), n, *[pa.array(x) for x in list_sums(batch.column("ids"), start)]], names=["slice", "n", "s", "p"])
+
+    return rows.select("start", "ids").mapInArrow(add_up, "slice long, n long, s long, p long")
+
+
 def _pairs(found: DataFrame, *names: str) -> DataFrame:
     n = F.size("ids") - 1
     return found.select(*names, F.slice("ids", F.lit(1), n).alias("inputs"), F.slice("ids", F.lit(2), n).alias("targets"))

@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
-from tessera.functions.text import END, universal_newlines
+from tessera.functions.text import END, byte_ids, universal_newlines
 from tessera.operators import bpe, ordering, token_stream
 from tessera.plans.base import query, spread, sql_pretokens, sql_words, table
 from tessera.sources import files
-from tessera.sources.scratch import shared_dir
+from tessera.sources.scratch import shared_dir, small_batches
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS text_md5, length(regexp_replace(text, '\\r\\n?', chr(10), 'g'))::BIGINT AS n_chars FROM documents")
@@ -146,7 +146,8 @@ def seeded_head(spark, d):
 
 def _byte_ids(docs):
     """doc_id and the ids of the text's bytes."""
-    return docs.select("doc_id", F.expr("transform(filter(split(regexp_replace(hex(encode(text, 'UTF-8')), '(..)', '$1,'), ','), x -> x <> ''), x -> cast(conv(x, 16, 10) as int))").alias("ids"))
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", byte_ids("text").alias("ids"))
 
 
 _IDS = "SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS ids FROM documents"
@@ -195,9 +196,7 @@ def _stream(spark, d):
 
 def _sums(found, *names):
     """Sums of a window's ids, plain and by place, which tell their order as well."""
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    placed = lambda c: total(F.transform(c, lambda x, k: (k + 1).cast("long") * x))
-    return found.select(*names, F.size("inputs").cast("long").alias("n_ids"), total("inputs").alias("input_sum"), placed("inputs").alias("input_placed"), total("targets").alias("target_sum"), placed("targets").alias("target_placed"))
+    return token_stream.sums(found, list(names))
 
 
 _PLACED = "count(*) FILTER (k < n)::BIGINT AS n_ids, sum(id) FILTER (k < n)::BIGINT AS input_sum, sum((k + 1) * id) FILTER (k < n)::BIGINT AS input_placed, sum(id) FILTER (k > 0)::BIGINT AS target_sum, sum(k * id) FILTER (k > 0)::BIGINT AS target_placed"

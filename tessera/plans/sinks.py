@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chat, ordering
+from tessera.functions.text import byte_ids
+from tessera.operators import chat, ordering, token_stream
 from tessera.plans.base import query, table
 from tessera.plans.chat import PACKED, _PAD, _SFT, _examples
-from tessera.plans.metrics import ids_of
 from tessera.sources import files, npy
-from tessera.sources.scratch import shared_dir
+from tessera.sources.scratch import shared_dir, small_batches
 
 
 def _place(spark, name):
@@ -22,7 +22,7 @@ def _place(spark, name):
 def npy_sink(spark, d):
     """Byte ids of whole documents as .npy payloads."""
     at = _place(spark, "npy")
-    files.write_npy(table(spark, d, "documents").select("doc_id", F.expr(ids_of("text")).alias("ids")), at)
+    files.write_npy(table(spark, d, "documents").select("doc_id", byte_ids("text").alias("ids")), at)
     return files.parse_npy(spark.read.parquet(at)).select("doc_id", "ids")
 
 
@@ -33,12 +33,12 @@ _SHARD_IDS = "SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, id FROM
 def npy_shards(spark, d):
     """The stream of all documents' byte ids in .npy files of 100,000 ids at most, read back by byte ranges."""
     npy.register(spark)
+    small_batches(spark)
     at = _place(spark, "npy-shards")
-    ids = table(spark, d, "documents").select("doc_id", F.expr(ids_of("text")).alias("ids")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = table(spark, d, "documents").select("doc_id", byte_ids("text").alias("ids")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ids.select("ids").write.format("npy").mode("append").option("shardIds", 100_000).save(at)
     rows = spark.read.format("npy").option("rowIds", 4096).option("sliceIds", 65_536).load(at)
-    placed = F.aggregate(F.transform("ids", lambda x, k: (F.col("start") + k + 1) * x), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.select(F.floor(F.col("start") / 4096).alias("slice"), F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), placed.alias("p"))
+    rows = token_stream.slice_sums(rows, 4096)
     return rows.groupBy("slice").agg(F.sum("n").alias("n_ids"), F.sum("s").alias("id_sum"), F.sum("p").alias("placed"))  # a slice may go across shards
 
 
