@@ -92,6 +92,10 @@ def replay(tokens: list[str], merges: dict[tuple[str, str], int]) -> list[str]:
     return tokens
 
 
+#: Tokens of a word that is scanned for each of its merges.
+SHORT_WORD = 32
+
+
 def encode(tokens: list, ranks: dict[tuple, int]) -> list:
     """Merges the pair of the lowest rank, the leftmost first, until none is known.
 
@@ -102,6 +106,17 @@ def encode(tokens: list, ranks: dict[tuple, int]) -> list:
     if n < 2:
         return tokens
     own: list = list(tokens)
+    if n <= SHORT_WORD:  # a scan for each merge is less work than links and a heap
+        rank = [ranks.get(p) for p in zip(own, own[1:], strict=False)]
+        while known := [(r, k) for k, r in enumerate(rank) if r is not None]:
+            k = min(known)[1]
+            own[k : k + 2] = [own[k] + own[k + 1]]
+            del rank[k]
+            if k:
+                rank[k - 1] = ranks.get((own[k - 1], own[k]))
+            if k < len(rank):
+                rank[k] = ranks.get((own[k], own[k + 1]))
+        return own
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, k, own[k], own[k + 1]) for k in range(n - 1) if (r := ranks.get((own[k], own[k + 1]))) is not None]
     heapq.heapify(heap)
