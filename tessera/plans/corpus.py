@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as texts
-from tessera.functions.text import END, byte_ids, universal_newlines
+from tessera.functions.text import END, byte_ids, universal_newlines, utf16_ids
 from tessera.operators import bpe, ordering, token_stream
 from tessera.plans.base import query, spread, sql_pretokens, sql_words, table
 from tessera.sources import files
@@ -24,9 +24,9 @@ def scan_documents(spark, d):
 @query("SELECT doc_id, strlen(text)::BIGINT AS n_ids, ord(text[1])::BIGINT AS first_char FROM documents")
 def scan_npy(spark, d):
     """Ids of UTF-16 units written as .npy payloads and read back."""
-    units = "transform(filter(split(regexp_replace(hex(encode(text, 'UTF-16LE')), '(..)(..)', '$2$1,'), ','), x -> x <> ''), x -> cast(conv(x, 16, 10) as int))"
-    saved = files.npy_payloads(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), F.expr(units).alias("ids")))
-    return files.parse_npy(saved, "content").select("doc_id", "n_ids", F.element_at("ids", 1).alias("first_char"))
+    saved = files.npy_payloads(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_ids"), utf16_ids("text").alias("ids")))
+    ids = files.parse_npy(saved, "content")
+    return ids.select("doc_id", "n_ids", F.when(F.col("n_ids").isNotNull(), texts.first_code_point("ids")).alias("first_char"))
 
 
 @query("SELECT doc_id, i - 1 AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) u(i)")
