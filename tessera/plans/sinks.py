@@ -35,8 +35,8 @@ def npy_shards(spark, d):
     npy.register(spark)
     small_batches(spark)
     at = _place(spark, "npy-shards")
-    ids = table(spark, d, "documents").select("doc_id", byte_ids("text").alias("ids")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ids.select("ids").write.format("npy").mode("append").option("shardIds", 100_000).save(at)
+    texts = table(spark, d, "documents").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    texts.select(byte_ids("text").alias("ids")).write.format("npy").mode("append").option("shardIds", 100_000).save(at)
     rows = spark.read.format("npy").option("rowIds", 4096).option("sliceIds", 65_536).load(at)
     rows = token_stream.slice_sums(rows, 4096)
     return rows.groupBy("slice").agg(F.sum("n").alias("n_ids"), F.sum("s").alias("id_sum"), F.sum("p").alias("placed"))  # a slice may go across shards

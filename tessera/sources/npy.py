@@ -18,7 +18,9 @@ import io
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 LIST = "_shards.json"
 SCHEMA = "path string, start long, ids array<long>"
+#: Ids that a reader has in memory, if a row has no more, and shards that a commit moves at a time.
+RUN, MOVES = 1 << 16, 16
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -66,7 +70,7 @@ def _shards(store: fs.FileSystem, at: str) -> list[dict]:
 
 
 @dataclass
-class Slice(InputPartition):
+class Slice:
     path: str
     kind: str
     first: int  # the byte of the shard's first number
@@ -75,14 +79,30 @@ class Slice(InputPartition):
     hi: int
 
 
+@dataclass
+class Slices(InputPartition):
+    slices: list[Slice]
+
+
 class NpyReader(DataSourceReader):
-    """Partitions are slices of `sliceIds` places of the stream, rows of `rowIds`; both also end with a shard."""
+    """Slices of `sliceIds` places of the stream, in rows of `rowIds`; both also end with a shard. A partition is as many slices, one
+    after the other, as have `taskIds` places together, or one that has more: small shards don't make a task each."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.row, self.slice = int(options.get("rowids", 1 << 16)), int(options.get("sliceids", 1 << 22))
+        self.row, self.slice, self.task = int(options.get("rowids", 1 << 16)), int(options.get("sliceids", 1 << 22)), int(options.get("taskids", 1 << 22))
+
+    def partitions(self) -> list[Slices]:
+        out, n = [], 0
+        for s in self._slices():
+            if not out or n + s.hi - s.lo > self.task:
+                out.append(Slices([]))
+                n = 0
+            out[-1].slices.append(s)
+            n += s.hi - s.lo
+        return out
 
-    def partitions(self) -> list[Slice]:
+    def _slices(self) -> list[Slice]:
         store, at = _store(self.path)
         out, start = [], 0
         for s in _shards(store, at):
@@ -94,16 +114,23 @@ class NpyReader(DataSourceReader):
             start += s["n"]
         return out
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Slices) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
-        kind, lo = np.dtype(part.kind), part.lo
-        with store.open_input_file(part.path) as f:
-            while lo < part.hi:  # a row at a time is in memory
-                hi = min(part.hi, (lo // self.row + 1) * self.row)
-                raw = f.read_at((hi - lo) * kind.itemsize, part.first + (lo - part.start) * kind.itemsize)
-                ids = pa.array(np.frombuffer(raw, kind).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([lo], pa.int64()), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids)], names=["path", "start", "ids"])
-                lo = hi
+        for path, slices in groupby(part.slices, lambda s: s.path):
+            with store.open_input_file(path) as f:
+                for s in slices:
+                    yield from self._rows(f, s)
+
+    def _rows(self, f: pa.NativeFile, s: Slice) -> Iterator[pa.RecordBatch]:
+        kind, lo = np.dtype(s.kind), s.lo
+        while lo < s.hi:  # a run of rows at a time is in memory
+            hi = min(s.hi, (lo // self.row + max(1, RUN // self.row)) * self.row)
+            raw = f.read_at((hi - lo) * kind.itemsize, s.first + (lo - s.start) * kind.itemsize)
+            ids = pa.array(np.frombuffer(raw, kind).astype(np.int64))
+            cuts = np.array([lo, *range((lo // self.row + 1) * self.row, hi, self.row), hi])
+            lists = pa.ListArray.from_arrays(pa.array((cuts - lo).astype(np.int32)), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([s.path] * len(lists)), pa.array(cuts[:-1], pa.int64()), lists], names=["path", "start", "ids"])
+            lo = hi
 
 
 @dataclass
@@ -163,8 +190,8 @@ class NpyWriter(DataSourceArrowWriter):
         store.create_dir(at, recursive=True)
         before = _listed(store, at)
         new = sorted((s for m in messages if m for s in m.shards), key=lambda s: (s["part"], s["name"][:17]))
-        for s in new:
-            store.move(f"{self._folder(at)}/{s['name']}", f"{at}/{s['name']}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda s: store.move(f"{self._folder(at)}/{s['name']}", f"{at}/{s['name']}"), new))
         with store.open_output_stream(f"{at}/{LIST}.{self.job}") as f:
             f.write(json.dumps([*([] if self.overwrite else before), *new]).encode())
         store.move(f"{at}/{LIST}.{self.job}", f"{at}/{LIST}")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from tessera.functions import text as texts
 from tessera.operators import merging, token_stream
 from tessera.plans.base import spread
-from tessera.sources import files
+from tessera.sources import files, npy
 
 
 def test_partitions_follow_the_rows(spark):
@@ -49,3 +49,14 @@ def test_payloads_go_in_small_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([[1] * n for n in (3, 900_000, 0, 2, 600_000, 1)], pa.list_(pa.int64()))], names=["k", "ids"])
     parts = list(files._parts(batch, "ids"))
     assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(6)) and len(parts) == 3
+
+
+def test_small_shards_are_not_a_task_each(spark, tmp_path):
+    npy.register(spark)
+    at = str(tmp_path / "ids")
+    spark.range(1).selectExpr("sequence(0, 999) AS ids").write.format("npy").mode("append").option("shardIds", 10).save(at)
+    for most, tasks in ((1 << 22, 1), (100, 10), (1, 233)):
+        read = spark.read.format("npy").option("sliceIds", 6).option("rowIds", 4).option("taskIds", most).load(at)
+        assert read.rdd.getNumPartitions() == tasks
+        rows = sorted(read.collect(), key=lambda r: r.start)
+        assert [x for r in rows for x in r.ids] == list(range(1000)) and all(r.ids[0] == r.start and len(r.ids) <= 4 for r in rows)
