@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import byte_ids, pretokens
@@ -28,13 +27,22 @@ def stream_encode(spark, d):
     return decoder.run_available(source, lambda s: s.select("conv_id", "turn", pretokens("text").alias("words")), f"{at}/out", f"{at}/state")
 
 
+def _streams(spark, d):
+    """Conversations with a key of each turn's own: the ids that the results show are not, from a conversation's hundredth turn on."""
+    return table(spark, d, "conversations").withColumn("stream", F.shiftleft("conv_id", 20) + F.col("turn"))
+
+
+def _joined(pieces):
+    """stream, text: a turn's pieces in their order, under the id that the results show."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "")
+    out = pieces.groupBy("stream").agg(text.alias("text"))
+    return out.select((F.shiftright("stream", 20) * 100 + F.col("stream").bitwiseAND(F.lit((1 << 20) - 1))).alias("stream"), "text")
+
+
 @query("SELECT conv_id * 100 + turn AS stream, text FROM conversations WHERE text <> ''")
 def streaming_decode(spark, d):
     """Each turn's bytes decoded one by one, and the pieces joined."""
-    t = table(spark, d, "conversations").withColumn("stream", F.col("conv_id") * 100 + F.col("turn"))
-    pieces = decoder.decode_batch(decoder.byte_tokens(t, "stream"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "")
-    return pieces.groupBy("stream").agg(text.alias("text"))
+    return _joined(decoder.decode_batch(decoder.byte_tokens(_streams(spark, d), "stream")))
 
 
 @query("SELECT conv_id * 100 + turn AS stream, text FROM conversations WHERE text <> ''")
@@ -43,19 +51,16 @@ def streaming_decode_stateful(spark, d):
     two runs of which the second goes on from the first one's checkpoint."""
     name = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # transformWithState needs it
-    at, turns = f"{shared_dir(spark)}/stream-decode-{uuid.uuid4().hex}", table(spark, d, "conversations")
+    at, turns = f"{shared_dir(spark)}/stream-decode-{uuid.uuid4().hex}", _streams(spark, d)
     n = max(2, -(-(turns.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // DECODED))
-    tokens = decoder.byte_tokens(turns.withColumn("stream", F.col("conv_id") * 100 + F.col("turn")), "stream")
-    size = Window.partitionBy("stream")
-    tokens = tokens.withColumn("part", F.floor(F.col("pos") * 4 / (F.max("pos").over(size) + 1))).repartition(n, "stream").persist()
+    turns = turns.select("stream", "text").repartition(n, "stream")
     for run in range(2):
         for part in (2 * run, 2 * run + 1):  # a stream's tokens of one part are in one file, and parts come one after the other
-            tokens.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{at}/in")
-        source = spark.readStream.schema(tokens.drop("part").schema).option("maxFilesPerTrigger", n).parquet(f"{at}/in")
-        pieces = decoder.run_available(source, decoder.decode_stream, f"{at}/out", f"{at}/state")
-    tokens.unpersist()
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "")
-    return pieces.groupBy("stream").agg(text.alias("text"))
+            tokens = decoder.byte_tokens(turns, "stream", part=part, parts=4)
+            tokens.write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", n).parquet(f"{at}/in")
+        pieces = decoder.run_available(source, lambda s: decoder.decode_stream(s, 16 * n), f"{at}/out", f"{at}/state", n)
+    return _joined(pieces)
 
 
 @query()

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.functions.text import byte_tokens_of
+
+#: Groups of streams whose state is kept together, unless a caller says how many; a call for each stream costs more than its tokens.
+GROUPS = 64
+
 
 def valid_prefix(buffer: bytes) -> tuple[str, bytes]:
     """The longest start that is UTF-8, as text, and the bytes after it."""
@@ -18,58 +23,87 @@ def valid_prefix(buffer: bytes) -> tuple[str, bytes]:
         return buffer[: e.start].decode("utf-8"), buffer[e.start :]
 
 
+def _pieces(rows: pd.DataFrame, held: dict[int, bytes]) -> pd.DataFrame:
+    """stream, pos, piece of rows in the order of stream and pos; `held` has the bytes that streams wait with, and is changed."""
+    out = []
+    for stream, tok, last in zip(rows["stream"].tolist(), rows["tok"].tolist(), rows["last"].tolist(), strict=True):
+        tok = bytes(tok)
+        if tok.isascii() and stream not in held:
+            out.append(tok.decode("ascii"))
+            continue
+        text, left = valid_prefix(held.pop(stream, b"") + tok)
+        if last:
+            text, left = text + left.decode("utf-8", "replace"), b""
+        if left:
+            held[stream] = left
+        out.append(text)
+    return pd.DataFrame({"stream": rows["stream"].array, "pos": rows["pos"].array, "piece": out})
+
+
 class TokenDecoder(StatefulProcessor):
-    """For rows (stream, pos, tok: binary, last: boolean) of each stream: the text that each token completes. What is left at the end becomes U+FFFD."""
+    """For rows (stream, pos, tok: binary, last: boolean) of a group of streams: the text that each token completes. What is left at
+    the end becomes U+FFFD. The state has the streams that wait within a character, and no others."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getValueState("buffer", "bytes binary")
+        self.waiting = handle.getMapState("waiting", "stream long", "bytes binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.buffer.get()[0] if self.buffer.exists() else b""
-        out = []
-        for r in pd.concat(list(rows)).sort_values("pos").itertuples():
-            text, held = valid_prefix(bytes(held) + bytes(r.tok))
-            if r.last and held:
-                text, held = text + held.decode("utf-8", "replace"), b""
-            out.append((key[0], r.pos, text))
-        self.buffer.update((held,))
-        yield pd.DataFrame(out, columns=["stream", "pos", "piece"])
+        before = {k[0]: bytes(v[0]) for k, v in self.waiting.iterator()} if self.waiting.exists() else {}
+        held = dict(before)
+        yield _pieces(pd.concat(list(rows)).sort_values(["stream", "pos"]), held)
+        for stream in before.keys() - held.keys():
+            self.waiting.removeKey((stream,))
+        for stream, left in held.items():
+            if before.get(stream) != left:
+                self.waiting.updateValue((stream,), (left,))
 
     def close(self) -> None:
         pass
 
 
-def decode_stream(tokens: DataFrame) -> DataFrame:
-    """A streaming DataFrame of (stream, pos, tok, last) to (stream, pos, piece)."""
-    return tokens.groupBy("stream").transformWithStateInPandas(TokenDecoder(), "stream long, pos long, piece string", "Append", "None")
+def decode_stream(tokens: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """A streaming DataFrame of (stream, pos, tok, last) to (stream, pos, piece). A checkpoint keeps its number of groups."""
+    own = tokens.select("stream", "pos", "tok", "last", F.pmod(F.xxhash64("stream"), F.lit(groups)).alias("group"))
+    return own.groupBy("group").transformWithStateInPandas(TokenDecoder(), "stream long, pos long, piece string", "Append", "None")
 
 
-def run_available(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there, into Parquet, and reads it."""
+def run_available(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
+    """Runs a stream over all that is there, into Parquet, and reads it. The state is in so many partitions, or as many as a shuffle has
+    in this session; each has a store and a worker to begin in every micro-batch. A checkpoint keeps their number."""
     result = transform(source)
     spark = source.sparkSession
-    q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    if partitions:
+        spark.conf.set(name, str(partitions))
+    try:
+        q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, usual)
     return spark.read.schema(result.schema).parquet(out)
 
 
 def decode_batch(tokens: DataFrame) -> DataFrame:
     """The same pieces for a finished table: what the longest valid prefix grows by at each token."""
 
-    def decode(rows: pd.DataFrame) -> pd.DataFrame:
-        held, out = b"", []
-        for r in rows.sort_values("pos").itertuples():
-            text, held = valid_prefix(held + bytes(r.tok))
-            if r.last and held:
-                text, held = text + held.decode("utf-8", "replace"), b""
-            out.append((r.stream, r.pos, text))
-        return pd.DataFrame(out, columns=["stream", "pos", "piece"])
-
-    return tokens.groupBy("stream").applyInPandas(decode, "stream long, pos long, piece string")
-
-
-def byte_tokens(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """Each byte of a text as a token."""
-    h = F.expr(f"filter(split(regexp_replace(hex(encode({text}, 'UTF-8')), '(..)', '$1,'), ','), x -> x <> '')")
-    t = docs.select(F.col(name).alias("stream"), h.alias("h")).select("stream", F.posexplode("h").alias("pos", "x"), F.size("h").alias("n"))
-    return t.select("stream", F.col("pos").cast("long").alias("pos"), F.unhex("x").alias("tok"), (F.col("pos") == F.col("n") - 1).alias("last"))
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+        for rows in batches:
+            if len(rows):
+                yield _pieces(rows, held)
+                end = rows["stream"].iloc[-1]
+                held = {k: v for k, v in held.items() if k == end}  # other streams are over
+
+    own = tokens.select("stream", "pos", "tok", "last").repartition("stream").sortWithinPartitions("stream", "pos")
+    return own.mapInPandas(decode, "stream long, pos long, piece string")
+
+
+def byte_tokens(docs: DataFrame, name: str, text: str = "text", part: int = 0, parts: int = 1) -> DataFrame:
+    """Each byte of a text as a token, or of one of so many parts of it, which may be cut within a character."""
+    n = F.octet_length(text)
+    cut = lambda k: F.floor((n.cast("long") * k + parts - 1) / parts).cast("int")
+    t = docs.select(F.col(name).alias("stream"), n.alias("n"), cut(part).alias("lo"), cut(part + 1).alias("hi"), F.col(text).cast("binary").alias("raw")).where("lo < hi")
+    t = t.select("stream", "n", "lo", byte_tokens_of(F.substring("raw", F.col("lo") + 1, F.col("hi") - F.col("lo"))).alias("toks"))
+    t = t.select("stream", "n", "lo", F.posexplode("toks").alias("at", "tok")).withColumn("pos", (F.col("lo") + F.col("at")).cast("long"))
+    return t.select("stream", "pos", "tok", (F.col("pos") == F.col("n") - 1).alias("last"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import tensor
+from tessera.plans.registry import QUERIES
 from tessera.streaming import batches, decoder
 
 
@@ -101,3 +102,12 @@ def test_endless_batches_go_on_from_a_checkpoint(spark, tmp_path):
     assert {(x["epoch"], x["batch"], x["slot"]): x["place"] for x in found} == {k: v for k, v in once.items() if (0, 5) <= k[:2] < (2, 1)}
     with pytest.raises(ValueError):
         batches.EndlessReader({"rows": "9", "batchsize": "10"})
+
+
+@pytest.mark.parametrize("name", ["streaming_decode", "streaming_decode_stateful"])
+def test_turns_of_long_conversations_are_streams_of_their_own(spark, tmp_path, name):
+    """The hundredth turn of one conversation and the first of the next have the same id in the results, but are two rows."""
+    rows = [(0, 100, "aé日"), (1, 0, "𝄞b"), (1, 1, ""), (1, 2, None), (2, 350, "xyz" * 50), (5, 50, "é")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("stream", "text").collect())
+    assert got == sorted((c * 100 + t, x) for c, t, x in rows if x)
